@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lychnos.llm import mixing, tokens
+from lychnos.llm import mixing, mojibake, tokens
 from lychnos.sources.tables import table
 
 
@@ -25,5 +25,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
