@@ -32,7 +32,13 @@ UTF8_READ_AS = ("cp1252", "iso8859_7", "cp1253", "cp1251", "mac_roman", "cp1250"
 #: (written in, read in) of one-byte encodings.
 GREEK_READ_AS = ("cp1252", "cp1251", "mac_roman", "cp1250")
 LATIN_READ_AS = ("cp1251", "cp1253", "mac_roman")
-CHAINS = tuple(f"utf8>{e}" for e in UTF8_READ_AS) + tuple(f"cp1253>{e}" for e in GREEK_READ_AS) + tuple(f"cp1252>{e}" for e in LATIN_READ_AS) + ("lost",)
+CHAINS = (
+    *(f"utf8>{e}" for e in UTF8_READ_AS),
+    *(f"cp1253>{e}" for e in GREEK_READ_AS),
+    *(f"cp1252>{e}" for e in LATIN_READ_AS),
+    "mac_roman>cp1252",
+    "lost",
+)
 NONE, WEAK, STRONG = 0, 1, 2
 ROUNDS = 5
 
@@ -110,7 +116,7 @@ def _reread(run: str, enc: str) -> tuple[str, int, int]:
 
 
 def _as_greek(word: str, enc: str) -> tuple[str | None, bool]:
-    """A word of high characters read as Greek bytes, and whether it is a very common word; None if it makes no Greek."""
+    """A word of high characters read as Greek bytes; None if it makes no Greek. And whether that is sure: a very common word, or one whose case only makes sense in Greek."""
     got = []
     for c in word:
         b = _TO_BYTES[enc].get(ord(c))
@@ -127,7 +133,8 @@ def _as_greek(word: str, enc: str) -> tuple[str | None, bool]:
     if low in _FUNCTION_WORDS:
         return t, True
     ok = len(t) >= 4 and any(c in _GREEK_VOWELS for c in t) and sum(c in _GREEK_ACCENTS for c in t) <= 1 and (t[1:].islower() or t.isupper())
-    return (t if ok else None), False
+    case_break = ok and not word.isupper() and any(a.islower() and b.isupper() for a, b in zip(word, word[1:], strict=False))
+    return (t if ok else None), case_break
 
 
 _SPLIT = re.compile(r"[^\x00-\x7f\s«»()–·•… ]+")
@@ -138,6 +145,7 @@ _NAIVE = {
         r"[A-Za-z][„‚‰¸ˆ‡√«¬‹÷·˙ﬂﬁ][a-z«√]|[a-z][ÁÈËÍÌÛÙ][a-z]|[A-Z][«√¬À][«√A-Z]|m≤|Ä\d|\d Ä(?![a-z])|[a-z]í[a-z]?(?=[ts ])|(?:^|\n)ï |[A-Za-z]È(?![\w])|[a-z] ñ [a-z]"
     ),
 }
+_MAC_READ_AS_CP1252 = re.compile(r"[A-Za-z][ŸŠšŽ‹‡†§ˆ˜•–—‚ƒ„…œž\x8d\x8f\x90\x9d][a-zŒœ‹]|[A-Z][†…€‚ƒ„Ì][A-ZÌ]|[a-z]Õ[a-z ]|(?:^|\n)¥ |[a-z] Ð [a-z]|Û\d|\d Û(?!\w)|\bŽ |†brigens")
 _WEAK_MAC = re.compile(r"[a-z]í|[a-z] ñ ")
 
 
@@ -167,6 +175,8 @@ def evidence(text: str) -> dict[str, tuple[int, int]]:
         if hits := _NAIVE[enc].findall(text):
             weak = sum(bool(_WEAK_MAC.match(h)) for h in hits) if enc == "mac_roman" else 0
             out[f"cp1252>{enc}"] = (len(hits) - weak, weak)
+    if hits := _MAC_READ_AS_CP1252.findall(text):
+        out["mac_roman>cp1252"] = (len(hits), 0)
     if "�" in text:
         out["lost"] = (text.count("�"), 0)
     return out
@@ -199,9 +209,8 @@ def repair(text: str, chain: str) -> str:
             hit = sum(_as_greek(w, read)[0] is not None for w in words)
             bad.append(2 * hit >= len(words) if words else None)
         else:
-            bad.append(bool(_NAIVE[read].search(part)) or None)
-    if wrote == "cp1252":  # a whole text, or none of it, was read with the wrong alphabet
-        bad = [True if b is None else b for b in bad]
+            naive = _MAC_READ_AS_CP1252 if wrote == "mac_roman" else _NAIVE[read]
+            bad.append(True if naive.search(part) else False if any(c in _ORDINARY and c not in " " for c in part) else None)
     for order in (range(1, len(bad)), range(len(bad) - 2, -1, -1)):  # parts that tell nothing go with their neighbours
         for i in order:
             if bad[i] is None:
