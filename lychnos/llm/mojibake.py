@@ -9,7 +9,8 @@ occurs with and without each chain (one pool for the field) and how common each
 source; weak evidence counts as much as its source makes it credible. A record is garbled if the
 posterior of some chain reaches one half, and is repaired by the most probable one.
 
-Only records with some suspicious character reach Python; the rest is decided by a JVM-side filter.
+One pattern search sorts out the records without any suspicious character; it runs in Python, where
+it takes a tenth of what the JVM's regular expressions take for it.
 
 Defined results: null, empty and blank texts are never garbled; a missing source is a source of its
 own; lost characters stay lost (the text is repaired around them); doubly garbled text is repaired
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,28 +151,40 @@ _MAC_READ_AS_CP1252 = re.compile(r"[A-Za-z][ŸŠšŽ‹‡†§ˆ˜•–—‚
 _WEAK_MAC = re.compile(r"[a-z]í|[a-z] ñ ")
 
 
+@lru_cache(maxsize=100_000)
+def _run_evidence(run: str) -> tuple[tuple[str, int, int, int], ...]:
+    """``(chain, strong or words, weak, sure words)`` for one run of non-ASCII characters; runs repeat, so results are kept."""
+    out = []
+    for enc in UTF8_READ_AS:
+        _, s, w = _reread(run, enc)
+        if s or w:
+            out.append((f"utf8>{enc}", s, w, 0))
+    words = [w for w in _SPLIT.findall(run) if w[0] not in _GREEK]
+    for enc in GREEK_READ_AS if words else ():
+        n = sure = 0
+        for word in words:
+            t, known = _as_greek(word, enc)
+            n, sure = n + (t is not None), sure + known
+        if n:
+            out.append((f"cp1253>{enc}", n, 0, sure))
+    return tuple(out)
+
+
 def evidence(text: str) -> dict[str, tuple[int, int]]:
     """(strong, weak) hits of each chain in ``text``; chains without hits are left out."""
-    out: dict[str, tuple[int, int]] = {}
-    runs = _HIGH.findall(text)
-    if runs:
-        for enc in UTF8_READ_AS:
-            s = w = 0
-            for r in runs:
-                _, a, b = _reread(r, enc)
-                s, w = s + a, w + b
-            if s or w:
-                out[f"utf8>{enc}"] = (s, w)
-        words = [w for r in runs for w in _SPLIT.findall(r)]
-        for enc in GREEK_READ_AS:
-            n = common = 0
-            for word in words:
-                if word[0] in _GREEK and enc != "cp1253":
-                    continue
-                t, known = _as_greek(word, enc)
-                n, common = n + (t is not None), common + known
-            if n:
-                out[f"cp1253>{enc}"] = (n, 0) if common or n >= 3 else (0, n)
+    total: dict[str, list[int]] = {}
+    for run in _HIGH.findall(text):
+        for chain, s, w, sure in _run_evidence(run):
+            t = total.setdefault(chain, [0, 0, 0])
+            t[0] += s
+            t[1] += w
+            t[2] += sure
+    out = {}
+    for chain, (s, w, sure) in total.items():
+        if chain.startswith("utf8"):
+            out[chain] = (s, w)
+        else:
+            out[chain] = (s, 0) if sure or s >= 3 else (0, s)
     for enc in LATIN_READ_AS:
         if hits := _NAIVE[enc].findall(text):
             weak = sum(bool(_WEAK_MAC.match(h)) for h in hits) if enc == "mac_roman" else 0
@@ -225,11 +239,17 @@ def _grade(strong: int, weak: int) -> int:
     return STRONG if strong or weak >= 4 else WEAK if weak else NONE
 
 
+suspicious = re.compile(SUSPICIOUS).search
+
+
 def _evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("chain", pa.int32()), ("grade", pa.int32()), ("hits", pa.int32())]))
     for b in batches:
         got = []
         for t in b.column(b.num_columns - 1).to_pylist():
+            if not suspicious(t):
+                got.append([])
+                continue
             got.append([{"chain": _CODE[c], "grade": _grade(s, w), "hits": s + w} for c, (s, w) in evidence(t).items()])
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, kind)], names=["id__", "source__", "found"])
 
@@ -238,7 +258,7 @@ def chain_posteriors(df: DataFrame, id_col: str, text_col: str, source_col: str,
     """``(id__, source__, chain, posterior)`` for the records with any evidence; ``chain`` is the most probable one."""
     kinds = dict(df.dtypes)
     base = df.select(F.col(id_col).alias("id__"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source__"), F.col(text_col).alias("text__")).where(F.col("text__").isNotNull())
-    seen = base.where(F.col("text__").rlike(SUSPICIOUS)).mapInArrow(_evidence_batches, f"id__ {kinds[id_col]}, source__ string, found array<struct<chain:int,grade:int,hits:int>>")
+    seen = base.mapInArrow(_evidence_batches, f"id__ {kinds[id_col]}, source__ string, found array<struct<chain:int,grade:int,hits:int>>")
     # one explanation per record: the strongest grade, then the most hits, then the order of the chains
     best = F.try_element_at(F.sort_array(F.transform("found", lambda x: F.struct((-x["grade"]).alias("g"), (-x["hits"]).alias("h"), x["chain"].alias("chain")))), F.lit(1))
     seen = seen.where(F.size("found") > 0).select("id__", "source__", best.alias("b")).select("id__", "source__", F.col("b.chain").alias("chain"), (-F.col("b.g")).alias("grade"))
