@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lychnos.llm import mixing, mojibake, tokens
+from lychnos.llm import mixing, mojibake, pages, tokens
 from lychnos.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.residue_pages(table(spark, sf_dir, "scraped_pages")).select("page_id")
+
+
+def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out quality of the residue classifier on unseen hosts."""
+    return pages.validation(table(spark, sf_dir, "scraped_pages"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_body(table(spark, sf_dir, "scraped_pages"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -33,5 +46,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_validation, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
