@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lychnos.llm import mixing, mojibake, pages, tokens
+from lychnos.llm import mixing, mojibake, pages, survivors, tokens
 from lychnos.sources.tables import table
 
 
@@ -17,6 +17,26 @@ def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.validation(table(spark, sf_dir, "scraped_pages"))
 
 
+#: What TESTDATA fixes for p2_found: completeness, trust, recency; then the smaller record id.
+FIXED_ORDER = ("n_items", "trust", "extracted_at")
+
+
+def _survivors(spark: SparkSession, sf_dir: str, prefer: tuple[str, ...]) -> DataFrame:
+    sources = table(spark, sf_dir, "trusted_sources")
+    names = survivors.best_representatives(table(spark, sf_dir, "anav_llama3b"), sources, ["programme_name"], prefer)
+    texts = survivors.best_representatives(table(spark, sf_dir, "ideal_anav"), sources, ["description", "eligibility_criteria"], prefer, whole_texts=["description"])
+    return names.unionByName(texts)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir, FIXED_ORDER).select("call_id", "field_name", "record_id")
+
+
+def p2_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors where the support found by truth discovery comes first."""
+    return _survivors(spark, sf_dir, ("support", *FIXED_ORDER))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_body(table(spark, sf_dir, "scraped_pages"))
 
@@ -46,5 +66,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_validation, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_validation, p2_found, p2_supported, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
