@@ -62,8 +62,14 @@ def mask(token: Column) -> Column:
     )
 
 
+#: Contacts with nothing but spaces between them: only there it matters what kind of word a token is.
+_LISTED = r"[EUP][\"»”]? [\"«“]?(?:[a ]*)[EUP]"
+
+
 def skeleton(toks: Column) -> Column:
-    return F.array_join(F.transform(toks, mask), "")
+    """The masks of all tokens. Contacts are plain words wherever delimiters already say what to cut; that keeps skeletons few."""
+    full = F.array_join(F.transform(toks, mask), "")
+    return F.when(full.rlike(_LISTED), full).otherwise(F.translate(full, "EUP", "aaa"))
 
 
 def _closers(s: str, lo: int, hi: int, singles: bool) -> dict[int, int]:
