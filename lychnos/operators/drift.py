@@ -220,8 +220,8 @@ def canonical_names(files: DataFrame, schema_names: list[str]) -> DataFrame:
     """``(name, canonical)``: each name of the files, with the schema name whose values it shares, else itself."""
     profiles = name_profiles(files)
     names = profiles.select("name").distinct()
-    known = names.where(F.col("name").isin(schema_names)).select(F.col("name").alias("new_name"))
-    pairs = names.where(~F.col("name").isin(schema_names)).select(F.col("name").alias("old_name")).join(F.broadcast(known))  # at most one row per schema name
+    wanted = F.explode(F.array(*map(F.lit, schema_names)))
+    pairs = names.where(~F.col("name").isin(schema_names)).select(F.col("name").alias("old_name"), wanted.alias("new_name"))
     best = _similar(pairs, profiles).where(F.col("sim") >= SAME_FIELD).groupBy("old_name").agg(F.max_by("new_name", F.struct("sim", "new_name")).alias("canonical"))
     return names.join(best, names["name"] == best["old_name"], "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
 

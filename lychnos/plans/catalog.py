@@ -261,12 +261,13 @@ def json_bare(spark, d):
 
 # ---------------------------------------------------------------- chats
 
-_TURNS_SQL = "SELECT call_id AS conv_id, record_id AS turn, CASE WHEN record_id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, coalesce(programme_name, '') AS text FROM ideal_anav WHERE call_id IS NOT NULL"
+_TURNS_SQL = "SELECT url AS conv_id, page_id AS turn, CASE WHEN page_id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, coalesce(page_text, '') AS text FROM scraped_pages"
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "ideal_anav").where("call_id is not null")
-    return t.select(F.col("call_id").alias("conv_id"), F.col("record_id").alias("turn"), F.when(F.col("record_id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.coalesce("programme_name", F.lit("")).alias("text"))
+    """The fetches of one address as the turns of a conversation; an address is fetched a few times."""
+    t = table(spark, d, "scraped_pages")
+    return t.select(F.col("url").alias("conv_id"), F.col("page_id").alias("turn"), F.when(F.col("page_id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.coalesce("page_text", F.lit("")).alias("text"))
 
 
 @query(f"SELECT conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS said FROM ({_TURNS_SQL})")
@@ -290,10 +291,10 @@ def chat_rebuild(spark, d):
     return chat.rebuild_messages(t, ("conv_id",))
 
 
-@query("SELECT site_key, string_agg('Contents of document ' || regexp_extract(url, '[^/]*$') || ' :' || chr(10) || coalesce(page_text, '') || chr(10) || chr(10), '' ORDER BY page_id) || chr(10) || 'User''s question: ' || coalesce('why ' || site_key, '') AS prompt FROM scraped_pages GROUP BY site_key")
+@query("SELECT url, string_agg('Contents of document ' || regexp_extract(url, '[^/]*$') || ' :' || chr(10) || coalesce(page_text, '') || chr(10) || chr(10), '' ORDER BY page_id) || chr(10) || 'User''s question: ' || 'why ' || url AS prompt FROM scraped_pages GROUP BY url")
 def multi_doc_prompt(spark, d):
-    t = table(spark, d, "scraped_pages").withColumn("question", F.concat(F.lit("why "), "site_key"))
-    return chat.document_prompt(t, "site_key", "url", "page_text", "page_id", "question")
+    t = table(spark, d, "scraped_pages").withColumn("question", F.concat(F.lit("why "), "url")).withColumn("path", F.col("url"))
+    return chat.document_prompt(t, "url", "path", "page_text", "page_id", "question")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN 'online' WHEN page_id % 4 = 2 AND page_id % 8 = 2 THEN 'online' ELSE 'chat' END AS route FROM scraped_pages")
@@ -409,11 +410,11 @@ def agent_website(spark, d):
     return agents.ask_website(t, Rule(reply)).select("page_id", "reply")
 
 
-@query("SELECT site_key, 'documents: ' || count(*) AS reply FROM scraped_pages GROUP BY site_key")
+@query("SELECT url, 'documents: ' || count(*) AS reply FROM scraped_pages GROUP BY url")
 def agent_documents(spark, d):
-    t = table(spark, d, "scraped_pages").withColumn("question", F.lit("How many?"))
+    t = table(spark, d, "scraped_pages").withColumn("question", F.lit("How many?")).withColumn("path", F.col("url"))
     rule = Rule(lambda m: f"documents: {_last(m).count('Contents of document ')}")
-    return agents.ask_documents(t, rule, "site_key", "question", path_col="url", text_col="page_text", pos_col="page_id").select("site_key", "reply")
+    return agents.ask_documents(t, rule, "url", "question", path_col="path", text_col="page_text", pos_col="page_id").select("url", "reply")
 
 
 @query()
