@@ -39,6 +39,7 @@ CHAINS = (
     *(f"cp1253>{e}" for e in GREEK_READ_AS),
     *(f"cp1252>{e}" for e in LATIN_READ_AS),
     "mac_roman>cp1252",
+    "cp1252>latin_1",
     "lost",
 )
 NONE, WEAK, STRONG = 0, 1, 2
@@ -80,7 +81,7 @@ class _Table(dict):
         return key if key < 128 else 0xFFFF
 
 
-_TO_BYTES = {e: _Table(_byte_table(e)) for e in {*UTF8_READ_AS, *GREEK_READ_AS, *LATIN_READ_AS}}
+_TO_BYTES = {e: _Table(_byte_table(e)) for e in {*UTF8_READ_AS, *GREEK_READ_AS, *LATIN_READ_AS}} | {"latin_1": _Table({b: b for b in range(128, 256)})}
 _MULTI = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _HIGH = re.compile(r"[^\x00-\x7f]{2,}")
 _WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\s][^\x00-\x7f\s\d]*[^\W\d_]*")
@@ -144,10 +145,12 @@ _NAIVE = {
     "cp1251": re.compile(r"[A-Za-z][Ѐ-џ]|[Ѐ-џ][A-Za-z]|Ђ\d|\d[  ]?Ђ"),
     "cp1253": re.compile(r"[A-Za-z][Ά-ώ](?![Ά-ώ])|(?<![Ά-ώ])[Ά-ώ][a-z]"),
     "mac_roman": re.compile(
-        r"[A-Za-z][„‚‰¸ˆ‡√«¬‹÷·˙ﬂﬁ][a-z«√]|[a-z][ÁÈËÍÌÛÙ][a-z]|[A-Z][«√¬À][«√A-Z]|m≤|Ä\d|\d Ä(?![a-z])|[a-z]í[a-z]?(?=[ts ])|(?:^|\n)ï |[A-Za-z]È(?![\w])|[a-z] ñ [a-z]"
+        r"[A-Za-z][„‚‰¸ˆ‡√«¬‹÷·˙ﬂﬁ][a-z«√]|[a-z][ÁÈËÍÌÛÙ][a-z]|[A-Z][«√¬À][«√A-Z]|m≤|Ä\d|\d Ä(?![a-z])|[a-z]í[a-z]?(?=[ts ])|(?:^|\n)ï |[A-Za-z]È(?![\w])|[a-z] ñ [a-z]|(?:^|\s)…[a-z]|[a-z] ‡ [a-z]"
     ),
 }
 _MAC_READ_AS_CP1252 = re.compile(r"[A-Za-z][ŸŠšŽ‹‡†§ˆ˜•–—‚ƒ„…œž\x8d\x8f\x90\x9d][a-zŒœ‹]|[A-Z][†…€‚ƒ„Ì][A-ZÌ]|[a-z]Õ[a-z ]|(?:^|\n)¥ |[a-z] Ð [a-z]|Û\d|\d Û(?!\w)|\bŽ |†brigens")
+#: Control characters that no text holds on purpose; they stand for signs such as the euro.
+_CONTROLS = re.compile(r"(?<![^\x00-\x7f])[\x80-\x84\x86-\x9f](?![^\x00-\x7f])")
 _WEAK_MAC = re.compile(r"[a-z]í|[a-z] ñ ")
 
 
@@ -184,13 +187,15 @@ def evidence(text: str) -> dict[str, tuple[int, int]]:
         if chain.startswith("utf8"):
             out[chain] = (s, w)
         else:
-            out[chain] = (s, 0) if sure or s >= 3 else (0, s)
+            out[chain] = (s, 0) if sure or s >= 2 else (0, s)
     for enc in LATIN_READ_AS:
         if hits := _NAIVE[enc].findall(text):
             weak = sum(bool(_WEAK_MAC.match(h)) for h in hits) if enc == "mac_roman" else 0
             out[f"cp1252>{enc}"] = (len(hits) - weak, weak)
     if hits := _MAC_READ_AS_CP1252.findall(text):
         out["mac_roman>cp1252"] = (len(hits), 0)
+    if hits := _CONTROLS.findall(text):
+        out["cp1252>latin_1"] = (len(hits), 0)
     if "�" in text:
         out["lost"] = (text.count("�"), 0)
     return out
@@ -223,7 +228,7 @@ def repair(text: str, chain: str) -> str:
             hit = sum(_as_greek(w, read)[0] is not None for w in words)
             bad.append(2 * hit >= len(words) if words else None)
         else:
-            naive = _MAC_READ_AS_CP1252 if wrote == "mac_roman" else _NAIVE[read]
+            naive = _MAC_READ_AS_CP1252 if wrote == "mac_roman" else _CONTROLS if read == "latin_1" else _NAIVE[read]
             bad.append(True if naive.search(part) else False if any(c in _ORDINARY and c not in " " for c in part) else None)
     for order in (range(1, len(bad)), range(len(bad) - 2, -1, -1)):  # parts that tell nothing go with their neighbours
         for i in order:
