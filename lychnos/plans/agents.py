@@ -16,11 +16,13 @@ from lychnos.functions.jsonx import bare_json, fenced_code, key, safe_json
 from lychnos.functions.schema import ARRAY_FIELDS, EXTRACTION_FIELDS
 from lychnos.functions.signature import registry, schema_text
 from lychnos.functions.text import truncated
-from lychnos.operators.chat import MESSAGES, document_prompt, fill, message, prompt_list
+from lychnos.operators.chat import MESSAGES, document_prompt, fill, message, prompt_list, route
 from lychnos.operators.extraction import read_records, split_outcomes
+from lychnos.operators.fuzzy import match_sources
 from lychnos.operators.model_stage import with_model
 from lychnos.plans.prompts import ANSWER_USER, EXTRACTION_SYSTEM, EXTRACTION_SYSTEM_PLAIN, EXTRACTION_USER, POINTS_USER, PROMPTS, UNFILLED, Role
-from lychnos.sources.tables import broadcast_if_small
+from lychnos.sources.readers import SiteReader, read_links, write_results
+from lychnos.sources.tables import broadcast_if_small, shared_checkpoint
 
 
 def _system(name: str, extra: str = "", **values: Column) -> Column:
@@ -180,3 +182,41 @@ def pages_to_raw_records(pages: DataFrame, backend, url: str = "url", content: s
     shaped = replies.withColumn("cut__", bare_json(F.col("reply")))
     read = read_records(shaped, "cut__")
     return read.select(url, *keep, "status", F.when(F.col("status") == "ok", safe_json("cut__")).alias("result"))
+
+
+def internet() -> str:
+    """Use when the request needs current or outside information."""
+    return "internet"
+
+
+def no_internet() -> str:
+    """Use when the request can be answered without outside information."""
+    return "no_internet"
+
+
+def route_by_model(df: DataFrame, planner, chooser, prompt: str = "prompt") -> DataFrame:
+    """``plan`` and ``route`` (``internet`` or ``no_internet``): a plan is made, then a function is chosen for it; without a choice no internet."""
+    planned = ask(df, planner, prompt, Role.PLANNER, out="plan").drop("log", "plan_error")
+    chosen = choose_function(planned, chooser, (internet, no_internet), "plan")
+    return chosen.withColumn("route", F.coalesce("function", F.lit("no_internet"))).drop("function", "parameters", "raw_response", "raw_response_error")
+
+
+def answer_turns(turns: DataFrame, sources: DataFrame, backend, searcher: Callable[[DataFrame], DataFrame], reader: Callable[[DataFrame], DataFrame], id_col: str = "prompt_id", prompt: str = "prompt", history: str | None = None) -> DataFrame:
+    """``(id_col, route, reply)`` for the inputs of chats: exits and blanks are left out, explicit addresses and
+    inputs that resemble a trusted source go online, the rest and whatever found nothing online is plain chat.
+    """
+    first = match_sources(turns, sources, id_col, prompt).groupBy(id_col).agg(F.min(F.struct("domain", "pos", "url"))["url"].alias("trusted_url"))
+    routed = turns.join(first, id_col, "left").withColumn("route", route(F.col(prompt), F.col("trusted_url"))).where(F.col("route").isNotNull())
+    online = search_online(routed.where("route = 'online'").drop("trusted_url"), backend, searcher, reader, prompt, id_col, history=history)
+    found = online.where("reply is not null").select(id_col, "route", "reply")
+    plain = routed.join(found.select(id_col), id_col, "left_anti")
+    chat = ask(plain, backend, prompt, history=history).select(id_col, F.lit("chat").alias("route"), "reply")
+    return found.unionByName(chat)
+
+
+def extraction_job(urls: DataFrame, site_reader: SiteReader, backend, path: str, url: str = "url", **reading) -> None:
+    """Addresses to records and dead letters on disk: read, extract, check, write. Errors stay with their address."""
+    pages = shared_checkpoint(read_links(urls, site_reader, url_col=url, **reading))  # pages are fetched once
+    ok, bad = pages_to_records(pages.where("page_text is not null"), backend, url)
+    unread = pages.where("page_text is null").select(url, F.lit("unread").alias("status"), F.col("read_error").alias("reply"))
+    write_results(ok, bad.unionByName(unread), path, url)

@@ -417,6 +417,38 @@ def agent_documents(spark, d):
     return agents.ask_documents(t, rule, "url", "question", path_col="path", text_col="page_text", pos_col="page_id").select("url", "reply")
 
 
+@query("SELECT record_id, CASE WHEN record_id % 3 = 0 THEN 'internet' ELSE 'no_internet' END AS route FROM ideal_anav")
+def agent_route(spark, d):
+    def choose(messages):
+        n = int(_last(messages).split()[-1])
+        return json.dumps({"function": "internet" if n % 3 == 0 else "no_internet" if n % 3 == 1 else "none", "parameters": {}})
+
+    t = table(spark, d, "ideal_anav").select("record_id", F.col("record_id").cast("string").alias("prompt"))
+    return agents.route_by_model(t, Rule(lambda m: f"steps for {_last(m)}"), Rule(choose)).select("record_id", "route")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'online' ELSE 'chat' END AS route, CASE WHEN page_id % 4 = 1 THEN 'online answer' ELSE 'chat answer' END AS reply FROM scraped_pages WHERE page_id % 4 <> 0")
+def agent_turns(spark, d):
+    """Chats: exits, explicit addresses that are found, others that are not, and plain talk."""
+    k = F.col("page_id") % 4
+    said = F.when(k == 0, F.lit(" EXIT ")).when(k == 1, F.col("url")).when(k == 2, F.lit("https://missing.example")).otherwise(F.lit("0"))
+    t = table(spark, d, "scraped_pages").select("page_id", said.alias("prompt"), F.col("url").alias("own"))
+
+    def reply(messages):
+        said = _last(messages)
+        if messages[0]["content"].startswith("Turn the question"):
+            return json.dumps({} if "missing" in said else {"search_query": said})
+        if "Found pages as JSON:" in said:
+            return json.dumps({"url": json.loads(said.split("Found pages as JSON:\n", 1)[1].split("\nChoose the page", 1)[0])[0]["url"]})
+        return "online answer" if said.startswith("From what was found online") else "chat answer"
+
+    def searcher(q):
+        return q.select("page_id", F.lit(1).alias("rank"), F.col("search_query").alias("url"), F.lit("t").alias("title"), F.lit("d").alias("description"))
+
+    sources = table(spark, d, "trusted_sources").where("false").select(F.col("domain_name").alias("domain"), "urls")
+    return agents.answer_turns(t, sources, Rule(reply), searcher, lambda x: x.withColumn("page_text", F.lit("page")), "page_id")
+
+
 @query()
 def agent_online_search(spark, d):
     pages = table(spark, d, "scraped_pages").dropDuplicates(["url"])
