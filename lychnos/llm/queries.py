@@ -67,4 +67,25 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_validation, p2_found, p2_supported, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
-ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+_STANDS = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
+_FOLD = r"lower(regexp_replace({0}, '[\s\x{{a0}}]+', '', 'g'))"
+_USABLE = r"(regexp_matches({0}, '[\p{{L}}\p{{N}}]') AND " + _FOLD + f" NOT IN ({_STANDS}))"
+_STEM = r"regexp_replace(description, '^[\s\x{a0}]+|[\s\x{a0}.…()\[\]]+$', '', 'g')"
+P2_SQL = f"""
+WITH texts AS (SELECT call_id, record_id, {_STEM} AS stem FROM ideal_anav WHERE {_USABLE.format("description")}),
+begun AS (SELECT DISTINCT a.call_id, a.record_id FROM texts a JOIN texts b ON a.call_id = b.call_id AND length(b.stem) > length(a.stem) AND starts_with(b.stem, a.stem)),
+items AS (SELECT call_id, record_id, len(list_distinct(list_filter(list_transform(eligibility_criteria, lambda x: {_FOLD.format("x")}), lambda x: {_USABLE.format("x")}))) AS k FROM ideal_anav),
+claims AS (
+  SELECT 'programme_name' AS field_name, call_id, record_id, site_key, extracted_at, 1 AS k FROM anav_llama3b WHERE {_USABLE.format("programme_name")}
+  UNION ALL SELECT 'description', call_id, record_id, site_key, extracted_at, 1 FROM ideal_anav WHERE {_USABLE.format("description")} AND record_id NOT IN (SELECT record_id FROM begun)
+  UNION ALL SELECT 'eligibility_criteria', r.call_id, r.record_id, r.site_key, r.extracted_at, i.k FROM ideal_anav r JOIN items i USING (record_id) WHERE i.k > 0),
+groups AS (
+  SELECT 'anav' AS t, call_id FROM anav_llama3b WHERE trim(call_id) <> '' GROUP BY call_id HAVING count(DISTINCT record_id) > 1
+  UNION ALL SELECT 'ideal', call_id FROM ideal_anav WHERE trim(call_id) <> '' GROUP BY call_id HAVING count(DISTINCT record_id) > 1),
+ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.field_name, c.call_id ORDER BY k DESC, coalesce(t.trust_level, 0) DESC, extracted_at DESC, record_id) AS place
+  FROM claims c LEFT JOIN trusted_sources t USING (site_key)
+  JOIN groups g ON g.call_id = c.call_id AND g.t = CASE WHEN c.field_name = 'programme_name' THEN 'anav' ELSE 'ideal' END)
+SELECT call_id, field_name, record_id FROM ranked WHERE place = 1
+"""
+ORACLES = {"p2_found": P2_SQL, "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
