@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -182,17 +182,21 @@ def _read_batches(fields: list[tuple[str, bool, str]]):
     return run
 
 
-def note_column(columns: list[str], topics: str, avoid: str = "") -> Column:
-    """The first digit-free sentence of ``columns`` that speaks of ``topics`` and names a unit, or an empty string."""
+def note_column(columns: list[str], topics: str, parts: tuple[str, ...]) -> Column:
+    """The first digit-free sentence of ``columns`` that speaks of ``topics`` and names a unit, or an empty string.
+
+    ``parts`` are pieces of the topic words without their first letters; a text that holds none of
+    them is not searched.
+    """
     units = r"€|\b(?:EUR|USD|GBP|CHF|SEK|NOK|DKK|PLN|BGN)\b|(?:thousand|million|billion)s?\b|χιλιάδ|χιλ\.|εκατομμ|δισεκατομμ|euro|ευρώ"
     text = F.concat_ws("\n", *(F.col(f"`{c}`") for c in columns))
-    no = rf"(?![^.!?\n\d]*(?:{avoid}))" if avoid else ""
-    sentence = rf"(?iu)(?:^|(?<=[.!?\n:;]|\s))\s*({no}(?=[^\d\n]*?(?:{units}))[^.!?\n\d]*?(?:{topics})[^\d!?\n]*?(?:\.(?=\s|$)|$|(?=\n)))"
-    return F.regexp_extract(text, sentence, 1)
+    sentence = rf"(?iu)(?:^|(?<=[.!?\n:;]|\s))\s*((?=[^\d\n]*?(?:{units}))[^.!?\n\d]*?(?:{topics})[^\d!?\n]*?(?:\.(?=\s|$)|$|(?=\n)))"
+    might = reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in parts))
+    return F.when(might, F.regexp_extract(text, sentence, 1)).otherwise(F.lit(""))
 
 
-BUDGET_TOPIC = r"budget|προϋπολογισμ"
-ALL_TOPIC = r"\b(?:amounts|sums|figures|prices)\b|\bποσά\b|χρηματικές τιμές"
+BUDGET_TOPIC, BUDGET_PARTS = r"budget|προϋπολογισμ", ("udget", "UDGET", "ροϋπολογισμ", "ΡΟΫΠΟΛΟΓΙΣΜ")
+ALL_TOPIC, ALL_PARTS = r"\b(?:amounts|sums|figures|prices)\b|\bποσά\b|χρηματικές τιμές", ("mounts", "ums", "igures", "rices", "οσά", "ιμές", "MOUNTS", "UMS", "ΟΣΆ")
 
 
 def normalised_quantities(df: DataFrame, fx_rates: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -207,8 +211,8 @@ def normalised_quantities(df: DataFrame, fx_rates: DataFrame, id_col: str = "rec
     has = F.lit(False)
     for f in amounts + rates:
         has = has | F.coalesce(F.col(f).rlike(digits), F.lit(False))
-    general = note_column(notes, ALL_TOPIC) if notes else F.lit("")
-    budget = note_column(notes, BUDGET_TOPIC) if notes else F.lit("")
+    general = note_column(notes, ALL_TOPIC, ALL_PARTS) if notes else F.lit("")
+    budget = note_column(notes, BUDGET_TOPIC, BUDGET_PARTS) if notes else F.lit("")
     rows = df.where(has).select(F.col(id_col).cast("bigint").alias("rid"), *amounts, *rates, general.alias("note_all"), budget.alias("note_budget"))
     rows = rows.withColumn("note_budget", F.when(F.col("note_budget") != "", F.col("note_budget")).otherwise(F.col("note_all")))
     fields = [(f, False, "note_budget" if f == "total_budget" else "note_all") for f in amounts] + [(f, True, "") for f in rates]
