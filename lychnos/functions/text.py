@@ -5,6 +5,7 @@ Null stays null in every function here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` needs it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _any(words: tuple[str, ...]) -> str:
     return "(" + "|".join(words) + ")"
 
@@ -62,16 +68,24 @@ def sentences(c: Column) -> Column:
     padded = F.concat(F.lit(" "), F.translate(c, "\n", " "), F.lit("  "))
     marked = reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), _dot_rules(), padded)
     parts = F.transform(F.split(F.translate(marked, KEPT_DOT, "."), CUT), strip)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    def without_last_blank(p: Column) -> Column:
+        return F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+
+    return F.when(c.isNotNull(), once(parts, without_last_blank))
 
 
 def chunks(sents: Column, n: int) -> Column:
     """Groups of ``n`` consecutive sentences joined by a space; the last may be short."""
     if n < 1:
         raise ValueError("a chunk has at least one sentence")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sents) / n).cast("int") - 1, F.lit(0)))
-    made = F.transform(starts, lambda i: F.array_join(F.slice(sents, i * n + 1, n), " "))
-    return F.when(F.size(sents) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    def cut(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s) / n).cast("int") - 1, F.lit(0)))
+        made = F.transform(starts, lambda i: F.array_join(F.slice(s, i * n + 1, n), " "))
+        return F.when(F.size(s) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return once(sents, cut)
 
 
 def safe_name(url: Column) -> Column:

@@ -32,7 +32,7 @@ def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 def match_sources(prompts: DataFrame, sources: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt", threshold: float = THRESHOLD) -> DataFrame:
     """``(id_col, domain, ratio, pos, url)``: the URLs of every source whose key resembles the prompt.
 
-    ``sources`` (domain, urls) keeps its order in ``pos`` by (domain, place in the list). Pairs
+    ``sources`` (domain, urls) keeps its order in ``pos`` by (domain, place in the list). Equal prompts are compared once, and pairs
     whose lengths alone rule out the threshold never reach Python: the ratio is at most twice the
     shorter length over the sum. Null prompts match nothing; two empty texts have ratio 1.
     """
@@ -40,5 +40,5 @@ def match_sources(prompts: DataFrame, sources: DataFrame, id_col: str = "prompt_
     s = broadcast_if_small(sources.select("domain", "urls", F.length("domain").alias("n__")))
     n = F.length("text__")
     possible = (2 * F.least(n, F.col("n__")) >= F.lit(threshold) * (n + F.col("n__"))) | (n + F.col("n__") == 0)
-    near = p.join(s, possible).withColumn("ratio", similarity("text__", "domain")).where(F.col("ratio") >= threshold)
-    return near.select(id_col, "domain", "ratio", F.posexplode("urls").alias("pos", "url"))
+    near = p.select("text__").distinct().join(s, possible).withColumn("ratio", similarity("text__", "domain")).where(F.col("ratio") >= threshold)
+    return p.join(near, "text__").select(id_col, "domain", "ratio", F.posexplode("urls").alias("pos", "url"))
