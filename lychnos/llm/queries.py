@@ -23,9 +23,8 @@ FIXED_ORDER = ("n_items", "trust", "extracted_at")
 
 def _survivors(spark: SparkSession, sf_dir: str, prefer: tuple[str, ...]) -> DataFrame:
     sources = table(spark, sf_dir, "trusted_sources")
-    names = survivors.best_representatives(table(spark, sf_dir, "anav_llama3b"), sources, ["programme_name"], prefer)
-    texts = survivors.best_representatives(table(spark, sf_dir, "ideal_anav"), sources, ["description", "eligibility_criteria"], prefer, whole_texts=["description"])
-    return names.unionByName(texts)
+    tables = [(table(spark, sf_dir, "anav_llama3b"), ["programme_name"]), (table(spark, sf_dir, "ideal_anav"), ["description", "eligibility_criteria"])]
+    return survivors.best_representatives(tables, sources, prefer, whole_texts=["description"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
