@@ -146,7 +146,7 @@ def test_strict_shape_and_object(spark):
 
 
 def test_fuzzy_sources(spark):
-    key = "anavathmizo.example.gr"
+    key = "kalypso-tower.example.gr"
     prompts = spark.createDataFrame([(1, key.upper()), (2, "x" * 155 + key), (3, None), (4, "")], "prompt_id int, prompt string")
     sources = spark.createDataFrame([(key, ["u1", "u2"])], "domain string, urls array<string>")
     got = [(r.prompt_id, r.url) for r in fuzzy.match_sources(prompts, sources).orderBy("prompt_id", "pos").collect()]
