@@ -53,6 +53,8 @@ def test_latest_delivery_counts_once_and_other_columns_do_not_matter(spark):
 
 def test_long_text_and_empty_table(spark):
     assert len(split(spark, ["; ".join(["word " * 40] * 2000)])[0]) == 2000
+    assert [len(x) for x in split(spark, ["word " * 100_000])[0]] == [499_999]  # no recursion in the token pattern
+    assert [len(x) for x in split(spark, ["x" * 300_000 + ";" + "1,5 " * 100_000])[0]] == [300_000, 399_999]
     assert split_packed(spark.createDataFrame([], "record_id bigint, f string"), "record_id", ["f"]).count() == 0
 
 
