@@ -9,7 +9,8 @@ hashed token sums three times (4096 cells each), so no source is ever sorted or
 
 Defined results: documents without a source, or whose source is in no mix, are never chosen; null
 and empty texts have size 0 and are chosen as their hash falls; a source without documents gives
-nothing and its share is spread; repeated doc_ids are separate documents; the same seed gives the
+nothing and its share is spread; in the targets a missing source is left out, a repeated one counts
+once, a missing share is 0, missing repeats and size factor are 1; repeated doc_ids are separate documents; the same seed gives the
 same mix at any parallelism.
 """
 
@@ -49,9 +50,13 @@ def _allocate(targets: Iterable, sizes: dict[str, int], known: int) -> list[tupl
     """``(mix, source, share, repeats, whole, part_tokens, allowed)`` for each row of the mixes."""
     mixes: dict[str, list] = {}
     for t in targets:
-        mixes.setdefault(t["mix_name"], []).append(t)
+        own = mixes.setdefault(t["mix_name"] or "", [])
+        if t["source"] is not None and all(t["source"] != o["source"] for o in own):
+            own.append({"source": t["source"], "target_share": t["target_share"] or 0.0, "max_repeats": max(0, t["max_repeats"] if t["max_repeats"] is not None else 1), "size_factor": t["size_factor"] if t["size_factor"] is not None else 1.0})
     rows = []
     for mix, own in mixes.items():
+        if not own:
+            continue
         share = {t["source"]: float(t["target_share"]) for t in own}
         caps = {t["source"]: float(sizes.get(t["source"], 0) * t["max_repeats"]) for t in own}
         got = water_fill(known * float(own[0]["size_factor"]), share, caps)
@@ -74,7 +79,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 17, tokenizer:
     sized = count_tokens(known, "text", ["doc_id", "source"], tokenizer, folder)
     sized = shared_checkpoint(sized.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS**LEVELS))))
     goal = targets.collect()
-    wanted = spark.createDataFrame([(s,) for s in sorted({t["source"] for t in goal})], "source string")
+    wanted = spark.createDataFrame([(s,) for s in sorted({t["source"] for t in goal} - {None})], "source string")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     ours = sized.join(F.broadcast(wanted), "source")  # one row per source of the fixed target table
     sizes = {r["source"]: r["n"] for r in ours.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}

@@ -45,3 +45,8 @@ def test_mix(spark):
     assert again == {(r.doc_id, r.copies) for r in rows}
     assert {(r.doc_id, r.copies) for r in mix_sources(df, t, seed=5)[0].collect()} != again
     assert mix_sources(df.limit(0), t)[0].count() == 0
+    odd = spark.createDataFrame([("m", None, 0.5, 1, 0.9), ("m", "small", None, 2, 0.9), (None, "hot", 1.0, None, None), (None, "hot", 0.5, 3, 1.0)], TARGETS)
+    mix, shares = mix_sources(df, odd)
+    assert {(r.mix_name, r.source) for r in shares.collect()} == {("m", "small"), ("", "hot")}
+    assert {r.source for r in mix.collect()} == {"hot"}
+    assert mix_sources(df, t.limit(0))[0].count() == 0
