@@ -27,7 +27,7 @@ _URL = r"https?://[^\s;,|\"«»<>()\[\]{}•']+"
 _MAIL = r"[\p{L}\p{N}_.%+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 _PHONE = r"\+\d{1,3}(?: \d{2,4}){2,4}|\d{3}-\d{3}-\d{4}"
 _MARK = r"(?<![^\s;,|•'\"«])(?:\d{1,3}|\p{L})\)(?=\s)|(?<![^\s;,|•])\d{1,2}\.(?=\s)"
-_ORD = r"(?:\d+,\d+|(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])|[^\s\u00a0;,|•·'\"«»“”„(){}\[\]])++"
+_ORD = r"(?:\([^()\n]*\)|\d+,\d+|(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])|[^\s\u00a0;,|•·'\"«»“”„(){}\[\]])++"
 _BULLET = r"(?![-–•·*/](?:[ \u00a0]|$))"
 _STOP = rf"(?!{_URL}|{_MAIL}|{_PHONE}|{_MARK})"
 TOKEN = rf"{_URL}|{_MAIL}|{_PHONE}|{_MARK}|{_BULLET}{_ORD}(?: {_STOP}{_BULLET}{_ORD})*+|[ \u00a0]+|(?s:.)"
