@@ -29,8 +29,9 @@ _PHONE = r"\+\d{1,3}(?: \d{2,4}){2,4}|\d{3}-\d{3}-\d{4}"
 _MARK = r"(?<![^\s;,|•'\"«])(?:\d{1,3}|\p{L})\)(?=\s)|(?<![^\s;,|•])\d{1,2}\.(?=\s)"
 _ORD = r"(?:\([^()\n]*\)|\d+,\d+|(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])|[^\s\u00a0;,|•·'\"«»“”„(){}\[\]])++"
 _BULLET = r"(?![-–•·*/](?:[ \u00a0]|$))"
-_STOP = rf"(?!{_URL}|{_MAIL}|{_PHONE}|{_MARK})"
-TOKEN = rf"{_URL}|{_MAIL}|{_PHONE}|{_MARK}|{_BULLET}{_ORD}(?: {_STOP}{_BULLET}{_ORD})*+|[ \u00a0]+|(?s:.)"
+_STOP = rf"(?!(?:\p{{L}}[\p{{L}}.]{{1,14}}[:.] ?)?(?:{_URL}|{_MAIL}|{_PHONE})|{_URL}|{_MAIL}|{_PHONE}|{_MARK})"
+_LABEL = r"\p{L}[\p{L}.]{1,14}[:.] ?"
+TOKEN = rf"{_LABEL}(?:{_URL}|{_MAIL}|{_PHONE})|{_URL}|{_MAIL}|{_PHONE}|{_MARK}|{_BULLET}{_ORD}(?: {_STOP}{_BULLET}{_ORD})*+|[ \u00a0]+|(?s:.)"
 
 _SPECIAL = ";|,\n\t\r•·*/-–\"'«»“”„()[]{}"
 _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", '"': '"'}
@@ -50,9 +51,9 @@ def mask(token: Column) -> Column:
     first = F.substring(token, 1, 1)
     word = (
         F.when(token.rlike(rf"^(?:{_MARK})$") | token.rlike(r"^(?:\d{1,3}|\p{L})\)$|^\d{1,2}\.$"), F.lit("N"))
-        .when(token.startswith("http://") | token.startswith("https://"), F.lit("U"))
-        .when(F.contains(token, F.lit("@")) & token.rlike(rf"^(?:{_MAIL})$"), F.lit("E"))
-        .when(token.rlike(rf"^(?:{_PHONE})$"), F.lit("P"))
+        .when(F.contains(token, F.lit("://")) & token.rlike(rf"^(?:{_LABEL})?https?://"), F.lit("U"))
+        .when(F.contains(token, F.lit("@")) & token.rlike(rf"^(?:{_LABEL})?(?:{_MAIL})$"), F.lit("E"))
+        .when(token.rlike(rf"^(?:{_LABEL})?(?:{_PHONE})$"), F.lit("P"))
         .otherwise(F.lit("a"))
     )
     return (
@@ -64,11 +65,14 @@ def mask(token: Column) -> Column:
 
 #: Contacts with nothing but spaces between them: only there it matters what kind of word a token is.
 _LISTED = r"[EUP][\"»”]? [\"«“]?(?:[a ]*)[EUP]"
+#: Quotes within quotes, or quotes that do not pair; elsewhere all kinds of quotes cut alike.
+_NESTED = r'«[^»]*["“”«]|“[^”]*["«»“]|"[^"]*[«»“”][^"]*"|^[^"«“]*[»”]|„|«[^»]*$|“[^”]*$|^[^"]*"[^"]*(?:"[^"]*"[^"]*)*$'
 
 
 def skeleton(toks: Column) -> Column:
     """The masks of all tokens. Contacts are plain words wherever delimiters already say what to cut; that keeps skeletons few."""
     full = F.array_join(F.transform(toks, mask), "")
+    full = F.when(full.rlike(_NESTED), full).otherwise(F.translate(full, "«»“”", '""""'))
     return F.when(full.rlike(_LISTED), full).otherwise(F.translate(full, "EUP", "aaa"))
 
 
