@@ -18,7 +18,7 @@ SENTENCE_STARTERS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Capt", "Cpt", "Lt", r"He\
 SITE_ENDINGS = ("com", "net", "org", "io", "gov", "edu", "me")
 
 #: Private-use characters: a dot that ends nothing, and a place to cut. Texts do not contain them.
-KEPT_DOT, CUT = "", ""
+KEPT_DOT, CUT = "\ue000", "\ue001"
 
 _SPACE = r"[\s\x1c-\x1f\x85]"
 
