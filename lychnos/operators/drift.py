@@ -7,6 +7,10 @@ are compared with the previous file of their feed, and a field that went is matc
 came by the similarity of their value profiles (hashed value features over all files, tf-idf
 cosine), each with its mutual best partner.
 
+The table of records and the list of alternatives go below the names: each value is walked to its
+inner values, tagged with path and kind. Paths are relative to the name: ``""`` is the value itself,
+``.label`` a member, ``[]`` an element.
+
 Defined results: unreadable lines and lines that are no object count for nothing; null says that
 the key is there but not its type; an empty list likewise; a repeated key keeps its last value;
 a field whose type is unknown on either side is not reported as retyped; equally frequent types
@@ -20,13 +24,14 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lychnos.functions.schema import ARRAY_FIELDS
 from lychnos.operators.neighbours import with_next
 from lychnos.sources.tables import broadcast_if_small, shared_checkpoint
 
@@ -36,6 +41,14 @@ FEATURES = 4096
 #: Least cosine of two names' value profiles to call them one field.
 SAME_FIELD = 0.5
 
+#: Members that hold the content of an object, in order; its other members (rank, channel, ...) describe the content.
+CONTENT = (("label",), ("name",), ("address",), ("main", "other"), ("first", "rest"))
+#: The member that lists further items in one text, separated by commas.
+PACKED = "other"
+
+_COMMA = re.compile(r",\s+(?![^()]*\))")
+#: Between the items of a list written as one text; not in brackets.
+_BETWEEN = r";\s+(?![^()]*\))|\s+\|\s+"
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _NUM = re.compile(r"\d+")
 
@@ -226,23 +239,174 @@ def canonical_names(files: DataFrame, schema_names: list[str]) -> DataFrame:
     return names.join(best, names["name"] == best["old_name"], "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
 
 
-def union_records(files: DataFrame, schema_names: list[str]) -> DataFrame:
+def _nodes(v, path: str = "", at: str = "") -> Iterator[tuple[str, str, str | None, object]]:
+    """``(path, place, kind, value)`` of a value and all its inner values; a place has the indices that a path leaves out."""
+    yield path, at, _kind(v), v
+    if isinstance(v, dict):
+        for k, x in v.items():
+            step = f".{k}" if re.fullmatch(r"\w+", k) else f"[{json.dumps(k, ensure_ascii=False)}]"
+            yield from _nodes(x, path + step, at + step)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from _nodes(x, f"{path}[]", f"{at}[{i}]")
+
+
+def _written(v) -> str | None:
+    return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def _float(v) -> float | None:
+    try:
+        return float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+    except OverflowError:
+        return None
+
+
+def _parts(text: str) -> list[str]:
+    return [x for p in _COMMA.split(text) if (x := p.strip())]
+
+
+def _content(v) -> list[str]:
+    """The content of a value in order; of an object without content members all leaf texts."""
+    if isinstance(v, list):
+        return [t for x in v for t in _content(x)]
+    if not isinstance(v, dict):
+        return _leaves(v)
+    own = _content_members(v) or tuple(v)
+    got = [t for k in own if k in v for t in (_parts(v[k]) if own == CONTENT[3] and k == PACKED and isinstance(v[k], str) else _content(v[k]))]
+    return [t for t in got if t.strip()]
+
+
+def _packed(v) -> str | None:
+    """The text of several items in a value's member ``PACKED``."""
+    other = v.get(PACKED) if isinstance(v, dict) and _content_members(v) == CONTENT[3] else None
+    return other if isinstance(other, str) and len(_parts(other)) > 1 else None
+
+
+def _content_members(v: dict) -> tuple[str, ...] | None:
+    return next((c for c in CONTENT if c[0] in v), None)
+
+
+def _members(v) -> list[tuple[str, str | None]] | None:
+    return [(k, _written(x)) for k, x in v.items()] if isinstance(v, dict) else None
+
+
+_MEMBERS = pa.map_(pa.string(), pa.string())
+_LEAF = pa.struct([("path", pa.string()), ("place", pa.string()), ("kind", pa.string()), ("as_text", pa.string()), ("as_number", pa.float64()), ("as_boolean", pa.bool_())])
+_TREES = pa.list_(pa.struct([
+    ("name", pa.string()), ("kind", pa.string()), ("texts", pa.list_(pa.string())), ("packed", pa.string()), ("as_boolean", pa.bool_()),
+    ("as_object", _MEMBERS), ("as_objects", pa.list_(_MEMBERS)), ("leaves", pa.list_(_LEAF)),
+]))
+_TREES_SQL = "array<struct<name:string,kind:string,texts:array<string>,packed:string,as_boolean:boolean,as_object:map<string,string>,as_objects:array<map<string,string>>,leaves:array<struct<path:string,place:string,kind:string,as_text:string,as_number:double,as_boolean:boolean>>>>"
+
+
+def _tree(name: str, v) -> dict:
+    kind, packed = _kind(v), _packed(v)
+    leaves = [
+        {"path": p, "place": at, "kind": k, "as_text": None if x == [] else _written(x), "as_number": _float(x), "as_boolean": x if isinstance(x, bool) else None}
+        for p, at, k, x in _nodes(v) if not (isinstance(x, dict | list) and x)
+    ]
+    return {
+        "name": name, "kind": kind, "texts": _content({k: x for k, x in v.items() if k != PACKED} if packed else v), "packed": packed,
+        "as_boolean": v if kind == BOOLEAN else None, "as_object": _members(v), "as_objects": [_members(x) for x in v] if kind == OBJECTS else None, "leaves": leaves,
+    }
+
+
+def value_trees(files: DataFrame) -> DataFrame:
+    """``(file_id, line_no, values)`` of the readable lines: kind, content, typed branches and tagged leaves of each name's value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [None if (o := _parse(raw)) is None else [_tree(k, v) for k, v in o.items()] for raw in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(got, _TREES)], names=["file_id", "line_no", "values"])
+
+    kinds = dict(files.dtypes)
+    out = files.select("file_id", "line_no", "raw_json").mapInArrow(run, f"file_id {kinds['file_id']}, line_no {kinds['line_no']}, values {_TREES_SQL}")
+    return out.where(F.col("values").isNotNull())
+
+
+def packed_items(files: DataFrame) -> DataFrame:
+    """``(packed, items)`` of each distinct text under ``PACKED``: cut at its commas, but not within items that other values of the files write on their own."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = set()
+            for raw in b.column(0).to_pylist():
+                for v in (_parse(raw) or {}).values():
+                    if text := _packed(v):
+                        got.add((text, True))
+                        v = {k: x for k, x in v.items() if k != PACKED}
+                    if isinstance(v, dict | list):
+                        got.update((t, False) for t in _content(v) if len(_parts(t)) > 1)
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array([p for _, p in got], pa.bool_())], names=["text", "is_packed"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                parts = _parts(text)
+                got = list({", ".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 2, len(parts) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([text] * len(got), pa.string()), pa.array(got, pa.string())], names=["packed", "run"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for text, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts, known, items, i = _parts(text), set(known or ()), [], 0
+                while i < len(parts):
+                    j = next((j for j in range(len(parts), i + 1, -1) if ", ".join(parts[i:j]) in known), i + 1)
+                    items.append(", ".join(parts[i:j]))
+                    i = j
+                got.append(items)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.string()))], names=["packed", "items"])
+
+    texts = shared_checkpoint(files.select("raw_json").mapInArrow(seen, "text string, is_packed boolean").distinct())
+    packed = texts.where("is_packed").select(F.col("text").alias("packed"))
+    whole = texts.where("not is_packed").select(F.col("text").alias("run"))
+    known = packed.mapInArrow(runs, "packed string, run string").join(whole, "run").groupBy("packed").agg(F.collect_set("run").alias("known"))  # at most the runs of one text
+    return packed.join(known, "packed", "left").mapInArrow(cut, "packed string, items array<string>")
+
+
+def union_records(files: DataFrame, schema_names: list[str], array_names: Collection[str] = ARRAY_FIELDS) -> DataFrame:
     """The lines of all files as one table of tagged values under canonical names.
 
-    ``(file_id, line_no, field_name, written_name, kind, as_text, as_list, as_number)``: ``kind`` is
-    the tag, ``as_list`` holds the leaf texts of any branch, ``as_text`` joins them, ``as_number`` is
-    filled if the whole value is one number. A line delivered twice gives its rows once.
+    ``(file_id, line_no, field_name, written_name, kind, as_text, as_list, as_number, as_boolean,
+    as_object, as_objects, leaves)``. ``kind`` is the tag; ``as_boolean``, ``as_object`` and
+    ``as_objects`` (an entry per element, null if it is no object) are filled for their kind alone,
+    inner values that are no texts as JSON. ``leaves`` has every innermost value with its path, its
+    place (the path with indices), its kind and its typed value. ``as_list`` and ``as_text`` are
+    the value brought to the field's type, ``as_list`` as its items, ``as_text`` joining them (a
+    text stays as written): of an object only the members in ``CONTENT``, and for the fields
+    ``array_names`` a text is cut into its items. ``as_number`` is filled if the whole value is one
+    number. A line delivered twice gives its rows once.
     """
     names = broadcast_if_small(shared_checkpoint(canonical_names(files, schema_names)))
-    one = tagged_lines(files).where(F.col("values").isNotNull()).dropDuplicates(["file_id", "line_no"]).select("file_id", "line_no", F.inline("values"))
+    cuts = broadcast_if_small(shared_checkpoint(packed_items(files)))
+    one = value_trees(files).dropDuplicates(["file_id", "line_no"]).select("file_id", "line_no", F.inline("values"))
+    rows = one.join(names, "name").join(cuts, "packed", "left").withColumn("texts", F.concat("texts", F.coalesce("items", F.array().cast("array<string>"))))
     text = F.array_join("texts", "; ")
-    return one.join(names, "name").select(
+    apart = F.filter(F.split(F.try_element_at("texts", F.lit(1)), _BETWEEN), lambda t: F.trim(t) != "")
+    items = F.when((F.col("kind") == TEXT) & F.col("canonical").isin(*array_names), apart).otherwise(F.col("texts"))
+    return rows.select(
         "file_id", "line_no", F.col("canonical").alias("field_name"), F.col("name").alias("written_name"), "kind",
-        F.when(F.col("kind").isNotNull(), text).alias("as_text"), F.col("texts").alias("as_list"), text.try_cast("double").alias("as_number"),
+        F.when(F.col("kind").isNotNull(), text).alias("as_text"), items.alias("as_list"), text.try_cast("double").alias("as_number"),
+        "as_boolean", "as_object", "as_objects", "leaves",
     )
 
 
 def type_alternatives(files: DataFrame) -> DataFrame:
-    """``(feed_id, name, kind, n_files, first_file_time)``: every alternative type a name ever had, and since when."""
-    one = file_schemas(tagged_lines(files)).select("feed_id", "file_id", "exported_at", F.inline("fields")).select("feed_id", "file_id", "exported_at", "name", F.explode("alternatives").alias("alt"))
-    return one.groupBy("feed_id", "name", F.col("alt.kind").alias("kind")).agg(F.count("*").alias("n_files"), F.min("exported_at").alias("first_file_time"))
+    """``(feed_id, name, path, kind, n_files, first_file_time)``: every alternative type a path ever had, and since when; the empty path is the named value itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for raw in b.column(3).to_pylist():
+                kinds = {(name, p, k) for name, v in (_parse(raw) or {}).items() for p, _, k, _ in _nodes(v) if k is not None}
+                got.append([{"name": n, "path": p, "kind": k} for n, p, k in kinds])
+            kinds = pa.list_(pa.struct([("name", pa.string()), ("path", pa.string()), ("kind", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, kinds)], names=["feed_id", "file_id", "exported_at", "found"])
+
+    types = dict(files.dtypes)
+    cols = files.select("feed_id", "file_id", "exported_at", "raw_json")
+    seen = cols.mapInArrow(run, f"feed_id {types['feed_id']}, file_id {types['file_id']}, exported_at {types['exported_at']}, found array<struct<name:string,path:string,kind:string>>")
+    one = seen.select("feed_id", "file_id", "exported_at", F.inline("found")).distinct()
+    return one.groupBy("feed_id", "name", "path", "kind").agg(F.count("*").alias("n_files"), F.min("exported_at").alias("first_file_time"))

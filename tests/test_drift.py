@@ -66,6 +66,31 @@ def test_union(spark):
     assert ("n", "number") in kinds and ("kontakte", "list of texts") in kinds
 
 
+def test_union_keeps_inner_values(spark):
+    parties = {"main": "Halls (big, small)", "other": "Forest, Water and Soil Services, Clubs"}
+    one = [
+        rec(funding_type={"label": "grant", "repayable": True}, eligible_parties=[{"name": "Clinics", "rank": 1}, {"name": "Clubs", "rank": 2}], is_open=False),
+        rec(funding_type="grant", eligible_parties=["Forest, Water and Soil Services"], contact_info=[{"channel": "web", "address": MAILS[0]}]),
+        rec(eligible_parties=parties, contact_info={"first": MAILS[0], "rest": [MAILS[1]]}),
+        rec(eligible_parties="Halls (big; small); Clubs", contact_info=f"{MAILS[0]} | {MAILS[1]}"),
+    ]
+    df = files(spark, [one])
+    got = {(r.line_no, r.field_name): r for r in union_records(df, ["funding_type", "eligible_parties", "contact_info"]).collect()}
+    assert (got[0, "funding_type"].as_text, got[0, "funding_type"].as_object) == ("grant", {"label": "grant", "repayable": "true"})
+    assert [(x.path, x.kind, x.as_text, x.as_boolean) for x in got[0, "funding_type"].leaves] == [(".label", "text", "grant", None), (".repayable", "true/false", "true", True)]
+    assert got[0, "eligible_parties"].as_list == ["Clinics", "Clubs"]
+    assert got[0, "eligible_parties"].as_objects == [{"name": "Clinics", "rank": "1"}, {"name": "Clubs", "rank": "2"}]
+    assert [(x.path, x.place, x.as_number) for x in got[0, "eligible_parties"].leaves if x.kind == "number"] == [("[].rank", "[0].rank", 1.0), ("[].rank", "[1].rank", 2.0)]
+    assert got[0, "is_open"].as_boolean is False and got[1, "funding_type"].as_boolean is None
+    assert got[1, "contact_info"].as_list == [MAILS[0]]
+    assert got[2, "eligible_parties"].as_list == ["Halls (big, small)", "Forest, Water and Soil Services", "Clubs"]
+    assert got[2, "contact_info"].as_list == got[3, "contact_info"].as_list == MAILS[:2]
+    assert got[3, "eligible_parties"].as_list == ["Halls (big; small)", "Clubs"]
+    assert {len(v.leaves) for (_, f), v in got.items() if f == "call_id"} == {1}
+    paths = {(r.name, r.path, r.kind, r.n_files) for r in type_alternatives(df).collect()}
+    assert {("eligible_parties", "[].rank", "number", 1), ("eligible_parties", "", "list of objects", 1), ("funding_type", ".repayable", "true/false", 1)} <= paths
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_next_row_across_partitions(spark, seed):
     rng = random.Random(seed)
