@@ -7,8 +7,11 @@ that the step adds to a conversation, in order.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,24 +143,91 @@ def picker_text(prompt: str) -> Column:
     return F.concat(F.lit("Choose a page for: "), F.col(prompt))
 
 
+#: Pages and queries in a block of the offline search.
+BLOCK_PAGES, BLOCK_QUERIES = 512, 1024
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def _packed(df: DataFrame, size: int) -> DataFrame:
+    """Rows to blocks of at most ``size`` rows, without a shuffle: one array per column."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                whole = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, pa.concat_arrays([c])) for c in part.columns], names=b.schema.names)
+
+    return df.mapInArrow(pack, ", ".join(f"`{c}` array<{t}>" for c, t in df.dtypes))
+
+
 def page_search(pages: DataFrame, hits: int = 10, url: str = "url", text: str = "page_text") -> Callable[[DataFrame], DataFrame]:
     """An offline searcher over a table of pages: words in common with the query, then the address.
 
-    Words are joined, not compared page by page; only the best ``hits`` per query are kept.
+    Every word counts, however short or frequent. Pages and queries meet in blocks, and only the
+    best ``hits`` per query leave a pair of blocks, so frequent words give no rows. Of an address
+    that stands in several rows the best row counts; pages without an address are no hits.
     """
     from pyspark.sql.window import Window
 
-    word = F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))).alias("w")
     title = F.substring_index(F.ltrim(F.col(text)), "\n", 1)
-    index = pages.where(F.col(text).isNotNull()).select(F.col(url).alias("url"), title.alias("title"), word).where(F.length("w") > 3)
+    index = pages.where(F.col(text).isNotNull() & F.col(url).isNotNull()).select(F.col(url).alias("url"), title.alias("title"), _words(F.col(text)).alias("words"))
 
     def run(queries: DataFrame) -> DataFrame:
         id_col = queries.columns[0]
-        terms = queries.select(id_col, F.explode(F.array_distinct(F.split(F.lower(F.col("search_query")), r"[^\p{L}\p{N}]+"))).alias("w"))
-        score = index.join(broadcast_if_small(terms), "w").groupBy(id_col, "url").agg(F.count("*").alias("n"), F.max("title").alias("title"))
-        w = Window.partitionBy(id_col).orderBy(F.desc("n"), "url")
+        asked = shared_checkpoint(queries.where(F.col("search_query").isNotNull()).select(F.col(id_col).alias("id"), _words(F.col("search_query")).alias("terms")))
+        asked = shared_checkpoint(_packed(asked.repartition(asked.count() // BLOCK_QUERIES + 1), BLOCK_QUERIES))
+        both = _packed(index, BLOCK_PAGES).crossJoin(broadcast_if_small(asked))
+        best = both.mapInArrow(_best_pages(hits), f"id {dict(queries.dtypes)[id_col]}, url string, title string, n int")
+        score = best.groupBy("id", "url").agg(F.max("n").alias("n"), F.max_by("title", F.struct("n", "title")).alias("title"))
+        w = Window.partitionBy("id").orderBy(F.desc("n"), "url")
         ranked = score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= hits)
-        return ranked.select(id_col, "rank", "url", "title", F.lit("No description found").alias("description"))
+        return ranked.select(F.col("id").alias(id_col), "rank", "url", "title", F.lit("No description found").alias("description"))
+
+    return run
+
+
+def _best_pages(hits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a block of pages (url, title, words) and one of queries (id, terms) to the best ``hits`` pages of each query."""
+
+    def block(urls: list[str], titles: list[str], words: pa.ListArray, ids: pa.Array, terms: list[list[str]]) -> pa.RecordBatch:
+        of: dict[str, list[int]] = {}
+        for q, ws in enumerate(terms):
+            for w in ws:
+                of.setdefault(w, []).append(q)
+        flat = words.flatten()
+        code = pc.fill_null(pc.index_in(flat, value_set=pa.array(list(of), pa.string())), -1).to_numpy(zero_copy_only=False)
+        page = np.repeat(np.arange(len(urls)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        order = np.argsort(code, kind="stable")
+        order = order[code[order] >= 0]
+        ends = np.searchsorted(code[order], np.arange(len(of) + 1))
+        counts = np.zeros((len(urls), len(terms)), np.int64)
+        for k, qs in enumerate(of.values()):
+            if ends[k] < ends[k + 1]:
+                counts[np.ix_(page[order[ends[k] : ends[k + 1]]], qs)] += 1
+        by_url = sorted(range(len(urls)), key=lambda i: urls[i])
+        first = [j for j, i in enumerate(by_url) if not j or urls[i] != urls[by_url[j - 1]]]
+        counts = np.maximum.reduceat(counts[by_url], first, axis=0)
+        said: dict[str, str] = {}
+        for i in by_url:
+            said[urls[i]] = max(titles[i], said.get(urls[i], titles[i]))
+        names = list(said)
+        m = len(names)
+        key = counts * m + (m - 1 - np.arange(m))[:, None]  # more words, then the smaller address
+        top = np.argpartition(-key, hits - 1, axis=0)[:hits] if m > hits else np.tile(np.arange(m)[:, None], (1, len(terms)))
+        n = np.take_along_axis(counts, top, 0)
+        row, q = np.nonzero(n)
+        at = top[row, q]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array([names[i] for i in at], pa.string()), pa.array([said[names[i]] for i in at], pa.string()), pa.array(n[row, q], pa.int32())], names=["id", "url", "title", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                urls, titles, words, ids, terms = (c[i].values for c in b.columns)
+                yield block(urls.to_pylist(), titles.to_pylist(), words, ids, terms.to_pylist())
 
     return run
 

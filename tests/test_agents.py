@@ -182,3 +182,19 @@ def test_results_are_written_once(spark, tmp_path):
     write_results(ok, bad, str(tmp_path))
     assert spark.read.json(str(tmp_path / "records")).first().artifact_name.endswith("_a_b_extracted.json")
     assert spark.read.json(str(tmp_path / "rejected")).count() == 1
+
+
+def test_search_counts_every_word(spark, monkeypatch):
+    monkeypatch.setattr(agents, "BLOCK_PAGES", 3)  # several blocks, more than ``hits`` pages in one
+    texts = {f"u{i:02d}": f"Scheme {i}\nfor all of us" for i in range(40)} | {"u05": "Κύκλος 64 «W»\nόροι", "u90": ", Κύκλος 65 «W»"}
+    pages = spark.createDataFrame([*texts.items(), ("u02", "Scheme of old\nfor us"), ("u91", None)], "url string, page_text string").coalesce(2)
+    asked = ["Scheme 7", "κύκλος 64 «w»", "", "for all of us 39", None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "prompt_id bigint, search_query string")
+    got = {}
+    for r in agents.page_search(pages, hits=2)(queries).collect():
+        got.setdefault(r.prompt_id, {})[r.rank] = (r.url, r.title)
+    assert got == {
+        0: {1: ("u07", "Scheme 7"), 2: ("u00", "Scheme 0")},
+        1: {1: ("u05", "Κύκλος 64 «W»"), 2: ("u90", ", Κύκλος 65 «W»")},
+        3: {1: ("u39", "Scheme 39"), 2: ("u00", "Scheme 0")},
+    }
