@@ -5,7 +5,7 @@ list of texts, list of objects) and the leaf texts. Kinds are fused per file and
 schema fusion: alternatives are kept and counted, the most frequent one is the file's type), files
 are compared with the previous file of their feed, and a field that went is matched with one that
 came by the similarity of their value profiles (hashed value features over all files, tf-idf
-cosine), each with its mutual best partner.
+cosine), each with its mutual best partner, and again among those left over.
 
 The table of records and the list of alternatives go below the names: each value is walked to its
 inner values, tagged with path and kind. Paths are relative to the name: ``""`` is the value itself,
@@ -29,7 +29,6 @@ from collections.abc import Collection, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lychnos.functions.schema import ARRAY_FIELDS
 from lychnos.operators.neighbours import with_next
@@ -108,7 +107,7 @@ def _features(texts: list[str]) -> list[str]:
             out.append("#shape" + re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", t)))
         if "@" not in t and "://" not in t:
             out += [w.casefold() for w in _WORD.findall(t)]
-            for n in _NUM.findall(t)[:8]:
+            for n in _NUM.findall(t):
                 out.append(f"#n{len(n)}")
             out += [f"#{c}" for c in ("€", "%", "/", ".") if c in t]
             out.append("#words" + str(min(6, len(t.split()))))
@@ -188,6 +187,16 @@ def _similar(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return dot.groupBy("old_name", "new_name").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
 
 
+def _best_partners(cand: DataFrame) -> DataFrame:
+    """The pairs of ``cand`` that are each other's best partner, and again among the names left over, until none is left: the pairs of a step by falling ``sim``, each if both names are free."""
+    pair = F.struct((-F.col("sim")).alias("d"), "old_name", "new_name")
+    per = cand.groupBy("file_id").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sort_array(F.collect_list(pair)).alias("pairs"))  # names of two files
+    free = lambda taken, p: ~F.exists(taken, lambda t: (t["old_name"] == p["old_name"]) | (t["new_name"] == p["new_name"]))
+    start = F.array().cast("array<struct<old_name:string,new_name:string>>")
+    taken = F.aggregate("pairs", start, lambda t, p: F.when(free(t, p), F.concat(t, F.array(F.struct(p["old_name"].alias("old_name"), p["new_name"].alias("new_name"))))).otherwise(t))
+    return per.select("file_id", "a", "b", F.inline(taken))
+
+
 def schema_changes(files: DataFrame) -> DataFrame:
     """``(file_id, change_kind, old_name, new_name)`` of each file against the previous one of its feed."""
     schemas = file_schemas(tagged_lines(files)).withColumn("fields", F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"))))
@@ -209,9 +218,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     pairs = pairs.select("file_id", "old_name", F.explode("come").alias("new_name"), "a", "b")
     sims = _similar(pairs.select("old_name", "new_name").distinct(), name_profiles(files)).where(F.col("sim") >= SAME_FIELD)
     cand = pairs.join(broadcast_if_small(shared_checkpoint(sims)), ["old_name", "new_name"])
-    by_old = Window.partitionBy("file_id", "old_name").orderBy(F.desc("sim"), "new_name")
-    by_new = Window.partitionBy("file_id", "new_name").orderBy(F.desc("sim"), "old_name")
-    mutual = cand.withColumn("r1", F.row_number().over(by_old)).withColumn("r2", F.row_number().over(by_new)).where("r1 = 1 and r2 = 1")
+    mutual = _best_partners(cand)
     renamed = shared_checkpoint(mutual.select("file_id", "old_name", "new_name", F.try_element_at("a", F.col("old_name")).alias("ka"), F.try_element_at("b", F.col("new_name")).alias("kb")))
 
     gone = steps.select("file_id", F.explode("gone").alias("old_name")).join(renamed, ["file_id", "old_name"], "left_anti")

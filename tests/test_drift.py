@@ -101,3 +101,13 @@ def test_next_row_across_partitions(spark, seed):
     want = {a: (b[2] if b and b[0] == a[0] else None) for a, b in zip(order, [*order[1:], None], strict=True)}
     assert got == want
     assert with_next(df.limit(0), ["k"], ["o"], ["v"]).count() == 0
+
+
+def test_like_fields_renamed_in_one_step(spark):
+    from lychnos.operators.drift import _features
+
+    sums = ["5.000 EUR", "7.000 EUR", "9.500 EUR"]
+    one = [rec(least=a, most=a) for a in sums]
+    two = [rec(from_sum=a, to_sum=a) for a in sums]
+    assert changes(files(spark, [one, two])) == [(2, "renamed", "least", "from_sum"), (2, "renamed", "most", "to_sum")]
+    assert "#n5" in _features(["1 2 3 4 5 6 7 8 10000"])
