@@ -43,7 +43,8 @@ CHAINS = (
     "lost",
 )
 NONE, WEAK, STRONG = 0, 1, 2
-ROUNDS = 5
+#: Safety bound: reaching it is an error, not a result.
+ROUNDS = 200
 
 _GREEK = "".join(chr(c) for c in range(0x386, 0x3CF) if chr(c).isalpha())
 _LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
@@ -60,6 +61,11 @@ SUSPICIOUS = (
     r"|[A-ZÀ-Þ]Í|[a-z]í[a-z]|[ΞΟβ][ -¿Ά-Ώ€]|[a-z][ÁÈ-Ï][a-z]|Ä\d"
 )
 
+#: Evidence whose only foreign sign is an ordinary one; begins with one set of characters, so that the search is quick.
+SUSPICIOUS_ORDINARY = (
+    r"[Äí…€«–•](?:(?<=\d Ä)(?![a-z])|(?<=[a-z]í)(?= )|(?<=[A-Za-z][«–•…])(?=[a-zŒœ‹«√])|(?<=[A-Z][«…€])(?=[A-ZÌ«√])|(?<!\S…)(?<=…)(?=[a-z]))"
+)
+
 
 def _byte_table(enc: str) -> dict[int, int]:
     """Code point -> byte of ``enc``; bytes that ``enc`` leaves undefined stand for themselves."""
@@ -244,7 +250,12 @@ def _grade(strong: int, weak: int) -> int:
     return STRONG if strong or weak >= 4 else WEAK if weak else NONE
 
 
-suspicious = re.compile(SUSPICIOUS).search
+_suspicious, _suspicious_ordinary = re.compile(SUSPICIOUS).search, re.compile(SUSPICIOUS_ORDINARY).search
+
+
+def suspicious(text: str) -> bool:
+    """A quick look whether any pattern of :func:`evidence` could be found."""
+    return _suspicious(text) is not None or _suspicious_ordinary(text) is not None
 
 
 def _evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +305,8 @@ def chain_posteriors(df: DataFrame, id_col: str, text_col: str, source_col: str,
         par = new
         if done:
             break
+    else:
+        raise RuntimeError(f"the shares of the chains did not converge in {rounds} rounds")
     pars = spark.createDataFrame([(c, *p) for c, p in par.items()], "chain int, wg double, wc double, sc double, pool double")
     e = _posterior(table.join(F.broadcast(pars), "chain")).select("source__", "chain", "grade", "post")
     named = F.element_at(F.array(*(F.lit(c) for c in CHAINS)), F.col("chain") + 1)

@@ -63,3 +63,27 @@ def test_documents(spark):
 def test_very_long_text():
     assert evidence(wrong(GREEK * 2000, "utf8", "cp1252"))["utf8>cp1252"][0] > 10_000
     assert evidence("a" * 1_000_000) == {}
+
+
+def test_quick_search_lets_every_pattern_through():
+    import random
+
+    from lychnos.llm import mojibake as m
+
+    patterns = [*m._NAIVE.values(), m._MAC_READ_AS_CP1252, m._CONTROLS]
+    for t in ("up to 5.000 Ä", "aquí te", "and …tat", "AM…LIE", "PR€T"):
+        assert m.evidence(t) and m.suspicious(t)
+    rng = random.Random(5)
+    signs = "aAzs  1\n" + m._ORDINARY
+    for _ in range(200_000):
+        t = "".join(rng.choices(signs, k=4))
+        assert m.suspicious(t) or not any(p.search(t) for p in patterns), t
+
+
+def test_unfinished_estimates_are_an_error(spark):
+    from lychnos.llm.mojibake import chain_posteriors
+
+    df = spark.createDataFrame([(1, "caf\u00c3\u00a9", "s"), (2, "plain", "s")], "doc_id bigint, text string, source string")
+    assert chain_posteriors(df, "doc_id", "text", "source").count() == 1
+    with pytest.raises(RuntimeError, match="converge"):
+        chain_posteriors(df, "doc_id", "text", "source", rounds=1)
