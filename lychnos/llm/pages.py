@@ -304,11 +304,11 @@ def _leaf(row: tuple) -> float:
 
 # ---------------------------------------------------------------- placeholders
 
-_NAME = r"[^\W\d_][\w.-]{0,30}"
+_NAME = r"[^\W\d_][\w.-]*"
 _PLACEHOLDER = re.compile(
-    rf"#?\{{\{{?\s*(?:{_NAME}|\d)\s*\}}?\}}|\$\{{\s*{_NAME}\s*\}}|<%.{{1,40}}?%>|\{{%.{{1,40}}?%\}}|@@\w{{1,30}}@@|%[A-Z][A-Z_]+%|__[A-Z][A-Z_]+__"
-    rf"|\[object Object\]|\bX{{4,}}\b|_{{5,}}|\[\[{_NAME}\]\]|\[(?:insert|fill in|enter|συμπληρώστε|εισάγετε|bitte|hier)[^\[\]]{{1,40}}\]|\[{_NAME}\](?!_)|<{_NAME}>|\bundefined\b|\bNaN\b"
-    rf"|&lt;{_NAME}&gt;|\$[A-Z][A-Z_]+\$|\((?:εδώ μπαίνει|hier steht|hier kommt|here goes)[^()]{{1,40}}\)|\([^()]{{1,40}}(?:goes here|kommt hierhin|hier einsetzen)\)|«[^«»]{{1,40}}[–-] ?(?:προς συμπλήρωση|to be filled in|to fill in|noch auszufüllen|bitte ergänzen)»"
+    rf"#?\{{\{{?\s*(?:{_NAME}|\d)\s*\}}?\}}|\$\{{\s*{_NAME}\s*\}}|<%.+?%>|\{{%.+?%\}}|@@\w+@@|%[A-Z][A-Z_]+%|__[A-Z][A-Z_]+__"
+    rf"|\[object Object\]|\bX{{4,}}\b|_{{5,}}|\[\[{_NAME}\]\]|\[(?:insert|fill in|enter|συμπληρώστε|εισάγετε|bitte|hier)[^\[\]]+\]|\[{_NAME}\](?!_)|<{_NAME}>|\bundefined\b|\bNaN\b"
+    rf"|&lt;{_NAME}&gt;|\$[A-Z][A-Z_]+\$|\((?:εδώ μπαίνει|hier steht|hier kommt|here goes)[^()]+\)|\([^()]+(?:goes here|kommt hierhin|hier einsetzen)\)|«[^«»]+[–-] ?(?:προς συμπλήρωση|to be filled in|to fill in|noch auszufüllen|bitte ergänzen)»"
 )
 _AS_SUCH = re.compile(r"(?:όπως|such as|wie|named|λέγεται|called)(?:\s+<[^<>]+>(?:\s+(?:και|and|und|,))?)*\s*$")
 
@@ -326,8 +326,8 @@ def placeholders(text: str) -> int:
     return n
 
 
-_SIGNS = ("{", "$", "@@", "__", "XXXX", "undefined", "NaN", "&lt;", "[[", "[insert", "[fill", "[enter", "[object", "[συμπ", "[εισ", "[bitte", "[hier", "<%", "εδώ μπαίνει", "συμπλήρωση", "goes here", "here goes", "(hier", "hier einsetzen", "kommt hierhin", "fill", "ausfüllen", "ergänzen")
-_BARE = re.compile(r"[<\[][^\W\d_]|%[A-Z]{2}")
+_SIGNS = ("{", "$", "@@", "__", "XXXX", "undefined", "NaN", "&lt;", "[[", "[insert", "[fill", "[enter", "[object", "[συμπ", "[εισ", "[bitte", "[hier", "<%", "εδώ μπαίνει", "συμπλήρωση", "goes here", "here goes", "(hier", "hier einsetzen", "kommt hierhin", "fill", "auszufüllen", "ergänzen")
+_BARE = re.compile(r"[<\[][^\W\d_]|%[A-Z][A-Z_]")
 
 
 def may_be_open(text: str) -> bool:

@@ -64,3 +64,14 @@ def test_same_tree_every_time():
 def test_long_lines():
     assert len(line_record("word " * 200_000)) == 5
     assert analyse("Action X\n" + "The rate is 5% and stays fixed for 9 years. " * 20_000)[1] == [1, 2]
+
+
+def test_every_placeholder_passes_the_quick_look():
+    from lychnos.llm.pages import may_be_open
+
+    forms = (
+        "#{a} {{ b }} {1} ${c} <%= d %> {%e%} @@f@@ %GH% %A_B% __AB__ XXXX _____ [[k]] [insert i] [ποσό] <ποσό> undefined NaN &lt;a&gt; $AB$ [object|Object] [fill|in|x] [συμπληρώστε|ποσό] "
+        "(εδώ|μπαίνει|ποσό) (hier|steht|x) (here|goes|x) (x|goes|here) (x|kommt|hierhin) (x|hier|einsetzen) «x|–|προς|συμπλήρωση» «x|–|to|be|filled|in» «x|-|to|fill|in» «Betrag|–|noch|auszufüllen» «x|–|bitte|ergänzen»"
+    ).replace("{{ b }}", "{{b}}").replace("<%= d %>", "<%=d%>").replace("[insert i]", "[insert|i]").split()
+    for form in [*(f.replace("|", " ") for f in forms), f"<%{'a' * 60}%>", f"[insert {'ab ' * 30}]", f"«{'Betrag ' * 9}– noch auszufüllen»", f"<{'a' * 50}>"]:
+        assert may_be_open(form) and placeholders(form), form
