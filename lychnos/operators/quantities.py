@@ -185,18 +185,18 @@ def _read_batches(fields: list[tuple[str, bool, str]]):
 def note_column(columns: list[str], topics: str, parts: tuple[str, ...]) -> Column:
     """The first digit-free sentence of ``columns`` that speaks of ``topics`` and names a unit, or an empty string.
 
-    ``parts`` are pieces of the topic words without their first letters; a text that holds none of
-    them is not searched.
+    ``parts`` are pieces of the topic words in lower case; a text that holds none of them in any
+    case is not searched.
     """
     units = r"€|\b(?:EUR|USD|GBP|CHF|SEK|NOK|DKK|PLN|BGN)\b|(?:thousand|million|billion)s?\b|χιλιάδ|χιλ\.|εκατομμ|δισεκατομμ|euro|ευρώ"
     text = F.concat_ws("\n", *(F.col(f"`{c}`") for c in columns))
     sentence = rf"(?iu)(?:^|(?<=[.!?\n:;]|\s))\s*((?=[^\d\n]*?(?:{units}))[^.!?\n\d]*?(?:{topics})[^\d!?\n]*?(?:\.(?=\s|$)|$|(?=\n)))"
-    might = reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in parts))
+    might = F.exists(F.array(F.lower(text)), lambda t: reduce(Column.__or__, (F.contains(t, F.lit(p)) for p in parts)))  # lower case made once
     return F.when(might, F.regexp_extract(text, sentence, 1)).otherwise(F.lit(""))
 
 
-BUDGET_TOPIC, BUDGET_PARTS = r"budget|προϋπολογισμ", ("udget", "UDGET", "ροϋπολογισμ", "ΡΟΫΠΟΛΟΓΙΣΜ")
-ALL_TOPIC, ALL_PARTS = r"\b(?:amounts|sums|figures|prices)\b|\bποσά\b|χρηματικές τιμές", ("mounts", "ums", "igures", "rices", "οσά", "ιμές", "MOUNTS", "UMS", "ΟΣΆ")
+BUDGET_TOPIC, BUDGET_PARTS = r"budget|προϋπολογισμ", ("budget", "προϋπολογισμ")
+ALL_TOPIC, ALL_PARTS = r"\b(?:amounts|sums|figures|prices)\b|\bποσά\b|χρηματικές τιμές", ("amounts", "sums", "figures", "prices", "ποσά", "τιμέ")
 
 
 def normalised_quantities(df: DataFrame, fx_rates: DataFrame, id_col: str = "record_id") -> DataFrame:

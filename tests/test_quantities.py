@@ -55,3 +55,12 @@ def test_repeats_and_empty(spark, fx):
     assert normalised_quantities(df, fx).count() == 1
     assert normalised_quantities(df.limit(0), fx).count() == 0
     assert normalised_quantities(df.selectExpr("record_id", "total_budget", "1 AS unit", "2 AS power", "3 AS rid"), fx).count() == 1
+
+
+def test_notes_are_found_in_any_case(spark):
+    from lychnos.operators.quantities import ALL_PARTS, ALL_TOPIC, BUDGET_PARTS, BUDGET_TOPIC, note_column
+
+    notes = ["FIGURES ARE IN THOUSAND EUR.", "Prices are in million EUR.", "PRICES IN EURO.", "ΧΡΗΜΑΤΙΚΈΣ ΤΙΜΈΣ ΣΕ ΧΙΛΙΆΔΕΣ ΕΥΡΏ.", "Τα ποσά σε ευρώ.", "SuMs in million EUR."]
+    df = spark.createDataFrame([(n,) for n in [*notes, "BuDgEt in thousand EUR."]], "n string").coalesce(1)
+    assert [r[0] for r in df.select(note_column(["n"], ALL_TOPIC, ALL_PARTS)).collect()] == [*notes, ""]
+    assert df.select(note_column(["n"], BUDGET_TOPIC, BUDGET_PARTS).alias("b")).where("b <> ''").count() == 1
