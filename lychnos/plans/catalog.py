@@ -17,7 +17,7 @@ from lychnos.functions.vectors import top_k, top_k_per_query
 from lychnos.operators import chat, fuzzy
 from lychnos.operators.model_stage import Rule
 from lychnos.plans import agents
-from lychnos.sources.tables import table
+from lychnos.sources.tables import shared_folder, table
 from lychnos.streaming.messages import message_log
 
 # SQL pieces: Unicode white space as Python and Java read it; Java's (?U) digits are plain in these data.
@@ -521,12 +521,9 @@ def extract_raw(spark, d):
 @query("SELECT doc_id AS conv_id, text FROM documents WHERE text IS NOT NULL")
 def stream_messages(spark, d):
     """Document texts as a stream of lines, put together again by the streaming aggregate."""
-    import os
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lychnos-streams")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     raw = spark.readStream.schema("doc_id bigint, text string").parquet(f"{d}/documents.parque[t]").where("text is not null")
     lines = F.split("text", r"(?<=\n)")
     pieces = raw.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.size(lines).alias("n"), F.posexplode(lines).alias("seq", "chunk"))

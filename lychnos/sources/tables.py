@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,20 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: what the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is what the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-    missing (tests on one machine) a temporary folder is used.
+    Where that setting is missing and all runs in one process, as in tests, a temporary folder is
+    used; on a cluster that would be another disk for each executor, so there it is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "lychnos-checkpoints")
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in :func:`shared_folder`."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lychnos-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer partitions than half of them, before work that costs more than a shuffle; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, row_overhead: int = 64) -> DataFrame:
     """Hint a broadcast of ``df`` only if its measured size is under ``limit_bytes``; else leave the join to a shuffle.
 
