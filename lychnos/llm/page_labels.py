@@ -45,8 +45,8 @@ LABELLED_LINES: dict[str, tuple[str, ...]] = {
         "Was bezahlt wird", "Beträge und Laufzeit", "Wer mitmacht", "Schritte zum Antrag", "Prüfung und Zahlung", "Termine",
     ),
     "item": (
-        "Μόνωση δώματος έως 9 τ.μ.", "Νέα παράθυρα (9 τεμάχια)", "Φωτισμός κλιμακοστασίου, έως 9 €", "Λέβητας 9 kW με αισθητήρα", "Αποθήκη ενέργειας 9 kWh", "Μελέτη από την Τράπεζα W", "Σκίαστρα όψης στο W",
-        "Roof insulation up to 9 m²", "New windows (9 pieces)", "Stairwell lighting, up to 9 EUR", "Boiler of 9 kW with sensor", "Storage of 9 kWh", "Study by the W Savings Bank", "Façade shading in W",
+        "Μόνωση δώματος έως 9 τ.μ.", "Νέα παράθυρα (9 τεμάχια)", "Φωτισμός κλιμακοστασίου, έως 9 €", "Λέβητας 9 kW με αισθητήρα", "Αποθήκη ενέργειας 9 kWh", "Μελέτη από την Τράπεζα W", "Μελέτη από την Περιφερειακό Ταμείο W", "Σκίαστρα όψης στο W",
+        "Roof insulation up to 9 m²", "New windows (9 pieces)", "Stairwell lighting, up to 9 EUR", "Boiler of 9 kW with sensor", "Storage of 9 kWh", "Study by the W Savings Bank", "Study by the W Regional Fund", "Façade shading in W",
         "Dachdämmung bis 9 m²", "Neue Fenster (9 Stück)", "Speicher mit 9 kWh", "Studie durch das Förderbank W",
     ),
     "title": (

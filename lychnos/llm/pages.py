@@ -1,563 +1,41 @@
-"""Pages from the web: main body against furniture, and pages without finished content.
+"""The main body of web pages: blocks that the tree of :mod:`lychnos.llm.blocks` calls body, on pages that are no residue.
 
-**Blocks.** A page is a sequence of lines (flat text blocks). A naive-Bayes scorer over the words of
-a line, fitted to the labelled table, gives each line its most likely kind; from that follow the
-features of a block: word count, link density (share of words that belong to menus, tools and
-footers), both also of the neighbours, whether it stands in a block of teasers, whether it is the
-page's own title. A decision tree (CART, Gini), trained on pages composed by rule from the labelled
-lines, says body or furniture.
-
-**Residue.** A logistic regression (L2) over hashed word n-grams, placeholder shapes, length and
-title features scores whether a page is residue. It is trained on a bounded sample of pages
-(``TRAIN_PAGES``) with weak labels from response-status and phrase patterns, and validated on hosts
-it has not seen. Pages above a low threshold are then checked exactly: placeholders stand outside
-furniture where values belong, or an error, script notice or filler stands and no real body does.
-
-Defined results: null, empty and blank pages are neither residue nor have a body; lines count all
-pieces between line feeds from 1; blank lines are never body; pages of pure furniture have no body
-and are no residue; repeated page_ids are judged row by row.
+Defined results: null, empty and blank pages have no body; lines count all pieces between line feeds
+from 1; blank lines are never body; pages of pure furniture and residue pages have no body; repeated
+page_ids are judged row by row.
 """
 
 from __future__ import annotations
 
-import math
-import random
-import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lychnos.llm.page_labels import FURNITURE, LABELLED_LINES, ORGANISATION_WORDS, RESIDUE
-
-#: Bound of the training sample of the residue classifier, in pages.
-TRAIN_PAGES = 4000
-#: Hash space of n-grams.
-BITS = 18
-#: Pages at or above this probability are checked exactly.
-CANDIDATE = 0.02
-#: Weight of one length, placeholder or title feature against that of one n-gram.
-FLAG = 1.5
-
-# ---------------------------------------------------------------- kinds of lines
-
-KINDS = tuple(LABELLED_LINES)
-_K = {k: i for i, k in enumerate(KINDS)}
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©»«|·>←→…\[\]@@:]|://")
-_DIGITS = re.compile(r"0x[0-9a-f]+|\b(?=[a-f]*\d)[0-9a-f]{6,}\b|\d+")
-_NAMES = frozenset({"w", "v", "wweg"})
-
-
-def _line_tokens(line: str) -> list[str]:
-    toks = _TOKEN.findall(line.lower())
-    n = len(toks)
-    toks.append(f"#n{0 if n <= 2 else 1 if n <= 4 else 2 if n <= 8 else 3}")
-    if line.endswith("."):
-        toks.append("#.")
-    return toks
-
-
-@lru_cache(maxsize=1)
-def _line_model() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Word -> row; log-probability ratios per row and kind; whether a row's word belongs to links."""
-    counts: list[dict[str, int]] = [{} for _ in KINDS]
-    for k, lines in LABELLED_LINES.items():
-        for line in lines:
-            for t in _line_tokens(line):
-                if t not in _NAMES:
-                    counts[_K[k]][t] = counts[_K[k]].get(t, 0) + 1
-    vocab = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
-    total = np.array([sum(c.values()) for c in counts], float)
-    table = np.array([[c.get(t, 0) + 0.05 for c in counts] for t in vocab]) / (total + 0.05 * len(vocab))
-    ratios = np.log(table / table.mean(axis=1, keepdims=True))
-    return vocab, ratios, np.isin(ratios.argmax(axis=1), _LINKY)
-
-
-_LINKY = [_K[k] for k in ("menu", "trail", "tool", "footer", "teaser_head", "advert", "notice")]
-_FIXED = [_K[k] for k in ("menu", "tool", "teaser_head", "heading", "script", "error")]
-_OPEN = [_K[k] for k in ("footer", "title", "item", "trail", "advert")]
-
-
-@lru_cache(maxsize=200_000)
-def line_kind(line: str) -> tuple[int, int, float, bool]:
-    """``(kind, words, link density, doubtful)`` of a stripped line whose digits are masked.
-
-    Doubtful lines are as likely a heading as a menu entry; their neighbours must tell.
-    """
-    vocab, ratios, linky = _line_model()
-    toks = _line_tokens(line)
-    rows = [r for t in toks if (r := vocab.get(t)) is not None]
-    words = max(1, sum(t[0].isalpha() for t in toks))
-    unknown = len(toks) - len(rows)
-    score = ratios[rows].sum(axis=0)
-    score[_K["sentence"]] += 1.5
-    # names are unknown words: bodies and titles are full of them, fixed phrases are not
-    score[_FIXED] -= 1.6 * unknown
-    score[_K["filler"]] -= 2.0 * unknown
-    score[_K["notice"]] -= 1.2 * unknown
-    score[_OPEN] -= 0.8 * max(0, unknown - 3)
-    kind = int(score.argmax())
-    doubt = kind in (_K["menu"], _K["heading"]) and abs(score[_K["menu"]] - score[_K["heading"]]) < 3.0
-    return kind, words, min(1.0, int(linky[rows].sum()) / len(toks)), bool(doubt)
-
-
-@lru_cache(maxsize=1)
-def _quick_model() -> tuple[dict[str, float], dict[str, int], dict[str, int]]:
-    """For long lines: word -> log-odds of anything else against running text; words that belong to links; common words."""
-    vocab, ratios, linky = _line_model()
-    other = [_K[k] for k in KINDS if k not in ("sentence", "item", "title", "heading")]
-    odds = ratios[:, other].max(axis=1) - ratios[:, _K["sentence"]]
-    common = {t for k in ("sentence", "notice", "item", "error", "script") for line in LABELLED_LINES[k] for t in line.lower().split()}
-    return {t: float(odds[i]) for t, i in vocab.items()}, {t: 1 for t, i in vocab.items() if linky[i]}, dict.fromkeys(common, 1)
-
-
-_LONG = 100
-_records: dict[str, tuple] = {}
-
-
-def line_record(line: str) -> tuple:
-    """``(kind, words, link density, doubtful, truncated)`` of a stripped line; kept, since furniture repeats."""
-    got = _records.get(line)
-    if got is None:
-        if len(_records) > 200_000:
-            _records.clear()
-        got = _records[line] = _line_record(line)
-    return got
-
-
-def _line_record(line: str) -> tuple:
-    if _CRUMB.match(line) and " " in line:
-        return _TRAIL, len(line.split()), 0.8, False, line.endswith("…")
-    bullet = line[0] in "-–•*·" and line[1:2] == " "
-    odds, links, known = _quick_model()
-    words = line.lower().split()
-    n = len(words)
-    if n > 5 and not line.endswith("…") and not _DIGITS.search(line) and sum(map(known.get, words, repeat(0))) < 0.1 * n and sum(w[0].isupper() for w in line.split()) < 0.3 * n:
-        kind = line_kind(_DIGITS.sub("9", line))[0]
-        if kind not in _FURN and kind not in _RESI:
-            return _FILL, n, 0.0, False, False  # running text without a common word
-    if len(line) > _LONG:
-        if sum(map(odds.get, words, repeat(0.0))) < 0.15 * n and line.count(" | ") + line.count("  ") < 2:
-            return _SENT, n, sum(map(links.get, words, repeat(0))) / n, False, line.endswith("…")
-    kind, words, link, doubt = line_kind(_DIGITS.sub("9", line[2:].lstrip() if bullet else line))
-    if bullet and kind != _SENT:
-        kind, doubt = _ITEM, False
-    return kind, words, link, doubt, line.endswith("…")
-
-
-# ---------------------------------------------------------------- block features
-
-FEATURES = ("kind_furniture", "kind_residue", "kind_title", "kind_heading", "kind_text", "doubtful", "words", "link", "prev_words", "prev_link", "next_words", "next_link", "in_teasers", "own_title", "truncated", "window")
-_SEPARATED = re.compile(r" [|–-] ")
-_FURN = frozenset(_K[k] for k in FURNITURE)
-_RESI = frozenset(_K[k] for k in RESIDUE)
-_TITLE, _HEAD, _ITEM, _SENT, _TEASER, _TRAIL, _FILL = (_K[k] for k in ("title", "heading", "item", "sentence", "teaser_head", "trail", "filler"))
-_CRUMB = re.compile(r"(?:Αρχική|Home|Startseite|Accueil|Início) [»>/] ")
-_GROUP = [(float(k in _FURN), float(k in _RESI), float(k == _TITLE), float(k == _HEAD), float(k in (_SENT, _ITEM))) for k in range(len(KINDS))]
-
-
-def _window_title(lines: list[str]) -> tuple[int, str]:
-    """Index of the window title among the first lines, or -1, and the own title that it repeats."""
-    for i, line in enumerate(lines[:3]):
-        for m in _SEPARATED.finditer(line):
-            head, org = line[: m.start()].rstrip(), line[m.end() :].strip()
-            if len(org) < 4 or line[0] == "©":
-                continue
-            if head in lines[i + 1 :]:
-                return i, head
-            if not ORGANISATION_WORDS.isdisjoint(org.split()) or any(x[0] == "©" and org in x for x in lines[i + 1 :]):
-                return i, ""
-    return -1, ""
-
-
-def block_features(lines: list[str]) -> tuple[list[tuple], list[int]]:
-    """The features of each non-blank stripped line, and its kind."""
-    info = list(map(line_record, lines))
-    n = len(lines)
-    window, own = _window_title(lines)
-    inside = [False] * n
-    open_, first = False, -1
-    for i, (k, _, _, _, cut) in enumerate(info):
-        if k == _TEASER:
-            open_ = True
-        elif open_ and (k == _TITLE or cut) and (lines[i] != own or first >= 0):
-            inside[i] = True
-        else:
-            open_ = False
-            if first < 0 and i != window and (lines[i] == own if own else k == _TITLE):
-                first = i
-    edge = (0, 0, 1.0)
-    rows = []
-    for i, (k, words, link, doubt, cut) in enumerate(info):
-        before, after = info[i - 1] if i else edge, info[i + 1] if i + 1 < n else edge
-        rows.append((*_GROUP[k], float(doubt), float(words), link, float(before[1]), before[2], float(after[1]), after[2], float(inside[i]), float(i == first), float(cut), float(i == window)))
-    return rows, [x[0] for x in info]
-
-
-# ---------------------------------------------------------------- decision tree
-
-MAX_DEPTH = 9
-
-
-def _grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple:
-    p = float(y.mean()) if len(y) else 0.0
-    if depth == 0 or p in (0.0, 1.0) or len(y) < 6:
-        return (p,)
-    best = None
-    base = p * (1 - p)
-    for f in range(x.shape[1]):
-        order = np.argsort(x[:, f], kind="stable")
-        v, t = x[order, f], y[order]
-        left = np.cumsum(t)[:-1]
-        nl = np.arange(1, len(t))
-        ok = (v[1:] > v[:-1]) & (nl >= 3) & (len(t) - nl >= 3)
-        if not ok.any():
-            continue
-        pl, pr = left / nl, (t.sum() - left) / (len(t) - nl)
-        g = (nl * pl * (1 - pl) + (len(t) - nl) * pr * (1 - pr)) / len(t)
-        g = np.where(ok, g, np.inf)
-        i = int(np.argmin(g))
-        if g[i] < base - 1e-9 and (best is None or g[i] < best[0] - 1e-12):
-            best = (float(g[i]), f, float((v[i] + v[i + 1]) / 2))
-    if best is None:
-        return (p,)
-    _, f, cut = best
-    m = x[:, f] <= cut
-    return (f, cut, _grow(x[m], y[m], depth - 1), _grow(x[~m], y[~m], depth - 1))
-
-
-def _decide(tree: tuple, row: tuple) -> float:
-    while len(tree) > 1:
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree[0]
-
-
-def _composed_pages(pages: int, seed: int) -> Iterator[tuple[list[str], list[bool]]]:
-    """Labelled pages by rule: furniture around and inside a body, in one language each, from the labelled lines."""
-    rng = random.Random(seed)
-    stems = ["Noral", "Fenor", "Talis", "Verun", "Kelor", "Ορνελ", "Βελαρ", "Τορις"]
-
-    def fill(s: str) -> str:
-        s = re.sub(r"\bW|V\b", lambda m: rng.choice(stems) + rng.choice(["ia", "on", "um", "ις", "ώ"]), s)
-        return re.sub("9", lambda m: str(rng.randrange(2, 99)), s)
-
-    def lang(s: str) -> str:
-        return "el" if re.search("[Α-Ωα-ω]", s) else "de" if re.search(r"[äöüßÄÖÜ]|\b(?:Sie|Wer|Was|Termine|Aktuelles|Startseite|Formulare|Fragen|Anmelden|bezahlt|Speicher|Programm|Stand|Zentrale|Nutzung|Nach|Kontakt|Teilen|Besucher|Anzeige|Schritte|Webseite|Themen|Studie|Der|Pro|Neue)\b", s) else "en"
-
-    by = {(k, g): [x for x in lines if lang(x) == g] for k, lines in LABELLED_LINES.items() for g in ("el", "en", "de")}
-    for _ in range(pages):
-        g = rng.choice(["el", "en", "de"])
-        pick = lambda k: fill(rng.choice(by[k, g] or LABELLED_LINES[k]))  # noqa: B023, E731
-        title, org = pick("title"), fill("W Fund")
-        out: list[tuple[str, bool]] = []
-        if rng.random() < 0.6:
-            out.append((f"{title} {rng.choice('–|-')} {org}", False))
-        menu = rng.sample(by["menu", g], min(len(by["menu", g]), rng.randrange(3, 8)))
-
-        def furniture(kinds: list[str], most: int) -> list[tuple[str, bool]]:
-            return [(pick(rng.choice(kinds)), False) for _ in range(rng.randrange(0, most))]  # noqa: B023
-
-        top = [(m, False) for m in menu] if rng.random() < 0.5 else [((rng.choice([" | ", "  "])).join(menu), False)]
-        out += top if rng.random() < 0.7 else []
-        out += furniture(["tool", "notice", "advert", "menu"], 4)
-        body: list[tuple[str, bool]] = [(title, True)]
-        for _ in range(rng.randrange(1, 5)):
-            if rng.random() < 0.6:
-                body.append((pick("heading"), True))
-            if rng.random() < 0.4:
-                body += [((rng.choice(["", "- ", "• "])) + pick("item"), True) for _ in range(rng.randrange(1, 5))]
-            body += [(" ".join(pick("sentence") for _ in range(rng.randrange(1, 4))), True) for _ in range(rng.randrange(0, 3))]
-            if rng.random() < 0.3:
-                body.append((pick(rng.choice(["tool", "notice", "advert"])), False))
-        out += body
-        if rng.random() < 0.6:
-            out.append((pick("teaser_head"), False))
-            for _ in range(rng.randrange(2, 6)):
-                out.append((pick("title"), False))
-                if rng.random() < 0.5:
-                    out.append((" ".join(pick("sentence").split()[:7]) + "…", False))
-        tail = [(m, False) for m in menu] if rng.random() < 0.4 else []
-        foot = furniture(["footer", "tool", "footer"], 6)
-        out += tail + foot if rng.random() < 0.5 else foot + tail
-        yield [x for x, _ in out], [y for _, y in out]
-
-
-@lru_cache(maxsize=1)
-def block_tree(pages: int = 240, seed: int = 5) -> tuple:
-    xs, ys = [], []
-    for lines, labels in _composed_pages(pages, seed):
-        rows, _ = block_features(lines)
-        xs += rows
-        ys += labels
-    return _grow(np.array(xs), np.array(ys, float), MAX_DEPTH)
-
-
-@lru_cache(maxsize=100_000)
-def _leaf(row: tuple) -> float:
-    return _decide(block_tree(), row)
-
+from lychnos.llm.blocks import block_tree, body_lines, held_out_sites, tree_text
+from lychnos.llm.residue import Judge, broadcast_model
+from lychnos.sources.tables import spread_if_few
 
-# ---------------------------------------------------------------- placeholders
 
-_NAME = r"[^\W\d_][\w.-]*"
-_PLACEHOLDER = re.compile(
-    rf"#?\{{\{{?\s*(?:{_NAME}|\d)\s*\}}?\}}|\$\{{\s*{_NAME}\s*\}}|<%.+?%>|\{{%.+?%\}}|@@\w+@@|%[A-Z][A-Z_]+%|__[A-Z][A-Z_]+__"
-    rf"|\[object Object\]|\bX{{4,}}\b|_{{5,}}|\[\[{_NAME}\]\]|\[(?:insert|fill in|enter|συμπληρώστε|εισάγετε|bitte|hier)[^\[\]]+\]|\[{_NAME}\](?!_)|<{_NAME}>|\bundefined\b|\bNaN\b"
-    rf"|&lt;{_NAME}&gt;|\$[A-Z][A-Z_]+\$|\((?:εδώ μπαίνει|hier steht|hier kommt|here goes)[^()]+\)|\([^()]+(?:goes here|kommt hierhin|hier einsetzen)\)|«[^«»]+[–-] ?(?:προς συμπλήρωση|to be filled in|to fill in|noch auszufüllen|bitte ergänzen)»"
-)
-_AS_SUCH = re.compile(r"(?:όπως|such as|wie|named|λέγεται|called)(?:\s+<[^<>]+>(?:\s+(?:και|and|und|,))?)*\s*$")
-
-
-def placeholders(text: str) -> int:
-    """Placeholders that stand for a value; names quoted as such, file name patterns and buttons do not count."""
-    n = 0
-    for m in _PLACEHOLDER.finditer(text):
-        s = m.group()
-        if s[0] in "<[" and _AS_SUCH.search(text[max(0, m.start() - 80) : m.start()]):
-            continue
-        if s[0] == "[" and s[1] not in "[o" and s[1].isupper():
-            continue  # a button or an abbreviation
-        n += 1
-    return n
-
-
-_SIGNS = ("{", "$", "@@", "__", "XXXX", "undefined", "NaN", "&lt;", "[[", "[insert", "[fill", "[enter", "[object", "[συμπ", "[εισ", "[bitte", "[hier", "<%", "εδώ μπαίνει", "συμπλήρωση", "goes here", "here goes", "(hier", "hier einsetzen", "kommt hierhin", "fill", "auszufüllen", "ergänzen")
-_BARE = re.compile(r"[<\[][^\W\d_]|%[A-Z][A-Z_]")
-
-
-def may_be_open(text: str) -> bool:
-    """A quick look whether :func:`placeholders` could find any."""
-    return any(map(text.__contains__, _SIGNS)) or _BARE.search(text) is not None
-
-
-def analyse(text: str) -> tuple[bool, list[int]]:
-    """Whether the exact check finds residue, and the line numbers of the main body."""
-    pieces = text.split("\n")
-    at = [i for i, p in enumerate(pieces) if p.strip()]
-    if not at:
-        return False, []
-    lines = [pieces[i].strip() for i in at]
-    rows, kinds = block_features(lines)
-    body = [_leaf(r) >= 0.5 for r in rows]
-    open_values = sum(placeholders(x) for x in lines if may_be_open(x)) if may_be_open(text) else 0
-    residue = real = 0
-    for x, k, b in zip(lines, kinds, body, strict=True):
-        if b and k in (_SENT, _ITEM):
-            real += 1
-        if k in _RESI and not x.endswith("…"):
-            residue += 1
-    if open_values or (residue and not real):
-        return True, []
-    return False, [i + 1 for i, b in zip(at, body, strict=True) if b]
-
-
-# ---------------------------------------------------------------- residue classifier
-
-_STATUS = re.compile(r"\b(?:4\d\d|50\d)\b|0x[0-9a-f]+|\b(?:gateway|denied|unavailable|timed out|maintenance|exception|fatal|oops|parked|session)\b|σφάλμα|διακομιστής|συνεδρία|συντήρησης|ουπς|στραβά|zugriff|wartung|schief", re.I)
-_PERIOD = re.compile(r"[.!?;](?:\s|$)")
-
-
-def weak_label(text: str) -> int | None:
-    """1 residue, 0 content, None undecided: from placeholder, status and phrase patterns and the amount of running text."""
-    kinds = [(line_record(x)[0], x) for p in text.split("\n") if (x := p.strip())]
-    running = sum(k in (_SENT, _ITEM) and not x.endswith("…") for k, x in kinds[1:])
-    phrases = sum(k in _RESI or (k not in _FURN and len(x) < 90 and _STATUS.search(x) is not None) for k, x in kinds)
-    if placeholders(text) or (phrases and not running):
-        return 1
-    return 0 if running >= 3 and not phrases else None
-
-
-_DIM = 1 << BITS
-
-
-@lru_cache(maxsize=500_000)
-def _gram(a: str, b: str) -> int:
-    return zlib.crc32(f"{a} {b}".encode()) & (_DIM - 1)
-
-
-def line_grams(line: str) -> list[int]:
-    """Hashed word unigrams and bigrams of a line, with repeats."""
-    words = _DIGITS.sub("9", line.lower()).split()
-    return [*map(_gram, words, repeat("")), *map(_gram, words, words[1:])]
-
-
-@lru_cache(maxsize=1)
-def _phrase_words() -> frozenset[str]:
-    """Words of the labelled error, script and filler lines that no other labelled line has."""
-    words = {k: {w for line in lines for w in line.split() if not w[0].isdigit()} for k, lines in LABELLED_LINES.items()}
-    return frozenset(set().union(*(words[k] for k in RESIDUE)) - set().union(*(v for k, v in words.items() if k not in RESIDUE)))
-
-
-def page_flags(text: str, lines: list[str]) -> set[int]:
-    """Hashed length, placeholder and title features."""
-    words = text.split()
-    distinct = set(words)
-    counted = sum(x.endswith((".", "²", "€", ")", "h")) and _DIGITS.search(x) is not None for x in lines)
-    flags = {
-        _gram("#len", str(min(12, len(text) // 150))),
-        _gram("#sentences", str(min(8, len(_PERIOD.findall(text))))),
-        _gram("#distinct", str(10 * len(distinct) // max(1, len(words)))),
-        _gram("#counted lines", str(min(4, counted))),
-        _gram("#longest", str(min(8, max(map(len, lines), default=0) // 60))),
-    }
-    if may_be_open(text) and placeholders(text):
-        flags.add(_gram("#open", "values"))
-    first = lines[0] if lines else ""
-    phrases = _phrase_words()
-    flags.add(_gram("#phrases", str(min(4, len(phrases & distinct)))))
-    if not phrases.isdisjoint(first.split()):
-        flags.add(_gram("#title", "phrase"))
-    if may_be_open(first) and placeholders(first):
-        flags.add(_gram("#title", "open"))
-    return flags
-
-
-def page_grams(text: str) -> tuple[list[int], set[int]]:
-    """The n-grams of all lines of a page, and its other features."""
-    lines = [x for p in text.split("\n") if (x := p.strip())]
-    return [g for x in lines for g in line_grams(x)], page_flags(text, lines)
-
-
-def fit_residue(texts: list[str], rounds: int = 150, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression on weakly labelled pages; classes are weighted equally."""
-    rows = [(page_grams(t), y) for t in texts if t and t.strip() and (y := weak_label(t)) is not None]
-    w = np.zeros(_DIM)
-    if len({y for _, y in rows}) < 2:
-        return w, 0.0  # nothing to learn: every page goes to the exact check
-    size = np.array([len(g) for (g, _), _ in rows])
-    flags = np.array([len(f) for (_, f), _ in rows])
-    row = np.concatenate([np.repeat(np.arange(len(rows)), size), np.repeat(np.arange(len(rows)), flags)])
-    cells, idx = np.unique(np.fromiter((i for part in (0, 1) for both, _ in rows for i in sorted(both[part])), np.int64), return_inverse=True)
-    x = np.where(np.arange(len(row)) < size.sum(), 1.0 / np.sqrt(size)[row], FLAG)
-    y = np.array([y for _, y in rows], float)
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    v, bias = np.zeros(len(cells)), 0.0
-    u, c = v.copy(), bias
-    step = 4.0 / float(np.bincount(row, x * x, len(rows)).max() + 1.0)
-    for k in range(rounds):  # accelerated gradient on the whole sample: no randomness, the same weights every time
-        g = (1 / (1 + np.exp(-np.clip(np.bincount(row, u[idx] * x, len(rows)) + c, -30, 30))) - y) * weight
-        v1, b1 = u - step * (np.bincount(idx, g[row] * x, len(cells)) + l2 * u), c - step * g.sum()
-        m = k / (k + 3)
-        u, c, v, bias = v1 + m * (v1 - v), b1 + m * (b1 - bias), v1, b1
-    w[cells] = v
-    return w, float(bias)
-
-
-class ResidueScorer:
-    """Scores pages with given weights; what a line adds is kept, since furniture repeats."""
-
-    def __init__(self, w: np.ndarray, bias: float) -> None:
-        self.w, self.bias, self.lines = w.tolist(), bias, {}
-
-    def __call__(self, text: str) -> float:
-        lines = [x for p in text.split("\n") if (x := p.strip())]
-        if len(self.lines) > 100_000:
-            self.lines.clear()
-        z = n = 0
-        for x in lines:
-            got = self.lines.get(x)
-            if got is None:
-                g = line_grams(x)
-                got = sum(map(self.w.__getitem__, g)), len(g)
-                if len(x) < _LONG:
-                    self.lines[x] = got
-            z += got[0]
-            n += got[1]
-        z = z / math.sqrt(max(1, n)) + FLAG * sum(map(self.w.__getitem__, page_flags(text, lines))) + self.bias
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def training_sample(pages: DataFrame, text_col: str = "page_text", id_col: str = "page_id", bound: int = TRAIN_PAGES, host_col: str | None = None) -> list:
-    """At most ``bound`` pages, chosen by the hash of their id."""
-    total = pages.count()
-    share = min(1.0, 1.2 * bound / max(1, total))
-    picked = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col(text_col).isNotNull())
-    return picked.select(text_col, *([host_col] if host_col else [])).limit(bound).collect()
-
-
-@lru_cache(maxsize=4)
-def _unpacked(packed: bytes) -> np.ndarray:
-    w = np.zeros(_DIM)
-    idx = np.frombuffer(packed, np.int32, count=len(packed) // 8)
-    w[idx] = np.frombuffer(packed, np.float32, offset=len(packed) // 2)
-    return w
-
-
-def _model(pages: DataFrame, text_col: str, id_col: str):
-    w, bias = fit_residue([r[0] for r in training_sample(pages, text_col, id_col)])
-    keep = np.flatnonzero(np.abs(w) > 1e-4).astype(np.int32)
-    packed = keep.tobytes() + w[keep].astype(np.float32).tobytes()  # at most 8 bytes per cell of the hash space
-    return pages.sparkSession.sparkContext.broadcast((packed, bias))
-
-
-def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "page_text") -> DataFrame:
-    """``(id_col, score)`` of the pages that offer no finished content."""
-    model = _model(pages, text_col, id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, bias = model.value
-        score = ResidueScorer(_unpacked(packed), bias)
-        for b in batches:
-            ids, scores = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t and t.strip():
-                    s = score(t)
-                    if s >= CANDIDATE and analyse(t)[0]:
-                        ids.append(i)
-                        scores.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(scores, pa.float64())], names=[id_col, "score"])
-
-    kind = dict(pages.dtypes)[id_col]
-    return pages.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
-
-
-def main_body(pages: DataFrame, id_col: str = "page_id", text_col: str = "page_text") -> DataFrame:
-    """``(id_col, line_no)``: the lines of each page's main body; residue pages have none."""
-    model = _model(pages, text_col, id_col)
+def main_body(pages: DataFrame, id_col: str = "page_id", text_col: str = "page_text", host_col: str = "site_key") -> DataFrame:
+    """``(id_col, line_no)``: the lines of each page's main body."""
+    model = broadcast_model(pages, text_col, id_col, host_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, bias = model.value
-        score = ResidueScorer(_unpacked(packed), bias)
+        judge = Judge(model.value)
         for b in batches:
-            got = []
-            for t in b.column(1).to_pylist():
-                if not t or not t.strip():
-                    got.append([])
-                    continue
-                residue, lines = analyse(t)
-                if residue and score(t) >= CANDIDATE:
-                    lines = []
-                elif residue:
-                    lines = body_lines(t)
-                got.append(lines)
+            got = [body_lines(t) if t and t.strip() and not judge(t)[1] else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=[id_col, "lines"])
 
     kind = dict(pages.dtypes)[id_col]
-    found = pages.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lines array<int>")
+    found = spread_if_few(pages.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, lines array<int>")
     return found.select(id_col, F.explode("lines").alias("line_no"))
 
 
-def body_lines(text: str) -> list[int]:
-    """Line numbers of the main body of a page that is no residue."""
-    pieces = text.split("\n")
-    at = [i for i, p in enumerate(pieces) if p.strip()]
-    rows = block_features([pieces[i].strip() for i in at])[0] if at else []
-    return [i + 1 for i, r in zip(at, rows, strict=True) if _leaf(r) >= 0.5]
-
-
-def validation(pages: DataFrame, id_col: str = "page_id", text_col: str = "page_text", host_col: str = "site_key", folds: int = 5) -> DataFrame:
-    """``(metric, value)`` on hosts that the classifier was not trained on, over the bounded sample, against the weak labels."""
-    rows = [(r[0], zlib.crc32(str(r[1]).encode()) % folds) for r in training_sample(pages, text_col, id_col, host_col=host_col)]
-    w, bias = fit_residue([t for t, f in rows if f])
-    score = ResidueScorer(w, bias)
-    held = [(weak_label(t), score(t) >= 0.5) for t, f in rows if not f and t.strip()]
-    held = [(y, p) for y, p in held if y is not None]
-    tp = sum(y == 1 and p for y, p in held)
-    out = [("held_out_pages", float(len(held))), ("accuracy", sum(bool(y) == p for y, p in held) / max(1, len(held)))]
-    out += [("precision", tp / max(1, sum(p for _, p in held))), ("recall", tp / max(1, sum(y == 1 for y, _ in held)))]
-    return pages.sparkSession.createDataFrame([(m, round(v, 6)) for m, v in out], "metric string, value double")
+def tree_validation(spark: SparkSession) -> DataFrame:
+    """``(metric, value)``: the tree as text, and its quality on labelled sites that it was not fitted to."""
+    body, furniture, wrong, missed = held_out_sites()
+    out = [("tree", tree_text(block_tree())), ("blocks", str(body + furniture + wrong + missed)), ("accuracy", f"{(body + furniture) / (body + furniture + wrong + missed):.6f}")]
+    out += [("precision", f"{body / (body + wrong):.6f}"), ("recall", f"{body / (body + missed):.6f}")]
+    return spark.createDataFrame(out, "metric string, value string")

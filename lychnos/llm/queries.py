@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lychnos.llm import mixing, mojibake, pages, survivors, tokens
+from lychnos.llm import mixing, mojibake, pages, residue, survivors, tokens
 from lychnos.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.residue_pages(table(spark, sf_dir, "scraped_pages")).select("page_id")
+    return residue.residue_pages(table(spark, sf_dir, "scraped_pages")).select("page_id")
 
 
 def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out quality of the residue classifier on unseen hosts."""
-    return pages.validation(table(spark, sf_dir, "scraped_pages"))
+    return residue.validation(table(spark, sf_dir, "scraped_pages"))
 
 
 #: What TESTDATA fixes for p2_found: completeness, trust, recency; then the smaller record id.
@@ -40,6 +40,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_body(table(spark, sf_dir, "scraped_pages"))
 
 
+def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree over blocks and its quality on held-out labelled sites."""
+    return pages.tree_validation(spark)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -65,7 +70,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_validation, p2_found, p2_supported, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_validation, p2_found, p2_supported, p5_found, p5_validation, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_repaired)}
 _STANDS = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
 _FOLD = r"lower(regexp_replace({0}, '[\s\x{{a0}}]+', '', 'g'))"
 _USABLE = r"(regexp_matches({0}, '[\p{{L}}\p{{N}}]') AND " + _FOLD + f" NOT IN ({_STANDS}))"

@@ -1,6 +1,11 @@
 import pytest
 
-from lychnos.llm.pages import analyse, block_tree, line_record, main_body, placeholders, residue_pages, validation
+import numpy as np
+
+from lychnos.llm import residue as residue_module
+from lychnos.llm.blocks import block_tree, body_lines, fit_tree, held_out_sites, labelled_pages, line_record
+from lychnos.llm.pages import main_body
+from lychnos.llm.residue import Sample, choose_threshold, exact_check, fit_model, page_features, placeholders, residue_pages, score_of, validation, weak_label
 
 REAL = "\n".join([
     "Πρόγραμμα Ορνελία | Περιφερειακό Ταμείο Τόρνη", "Αρχική | Δράσεις | Νέα | Έντυπα", "", "Πρόγραμμα Ορνελία", "Τι χρηματοδοτείται",
@@ -12,8 +17,8 @@ GERMAN = "\n".join(["Förderlinie Noral", "Termine", "Der Zinssatz beträgt 5 %
 
 
 def test_main_body():
-    assert analyse(REAL) == (False, [4, 5, 6, 8, 9])
-    assert analyse(GERMAN) == (False, [1, 2, 3])
+    assert body_lines(REAL) == [4, 5, 6, 8, 9]
+    assert body_lines(GERMAN) == [1, 2, 3]
 
 
 RESIDUE = [
@@ -29,12 +34,12 @@ KEPT = [REAL, GERMAN, "", " \n ", None, "Αρχική\nΝέα", "Noral Warm Home
 
 @pytest.mark.parametrize("text", RESIDUE)
 def test_residue(text):
-    assert analyse(text) == (True, [])
+    assert exact_check(text) and weak_label(text) == 1
 
 
 @pytest.mark.parametrize("text", [t for t in KEPT if t])
 def test_kept(text):
-    assert not analyse(text)[0]
+    assert not exact_check(text) and weak_label(text) != 1
 
 
 def test_placeholders():
@@ -51,23 +56,86 @@ def test_tables(spark):
     first = len(RESIDUE) * 5
     assert {n for p, n in lines if p == first} == {4, 5, 6, 8, 9}
     assert not bad & {p for p, _ in lines}
-    assert {r.metric for r in validation(df).collect()} == {"held_out_pages", "accuracy", "precision", "recall"}
+    assert {"classifier_precision", "classifier_recall", "margin"} <= {r.metric for r in validation(df).collect()}
     assert residue_pages(df.limit(0)).count() == 0 and main_body(df.limit(0)).count() == 0
 
 
-def test_same_tree_every_time():
+def test_tree():
     tree = block_tree()
     block_tree.cache_clear()
     assert block_tree() == tree
+    used = set()
+
+    def walk(node):
+        if len(node) > 1:
+            used.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(tree)
+    assert used & {2, 3, 4, 5}  # neighbours decide
+    body, furniture, wrong, missed = held_out_sites()
+    assert wrong + missed < 0.02 * (body + furniture)
+
+
+def test_without_neighbours_rows_change(monkeypatch):
+    """The heading that is also a menu entry is told by its neighbours alone."""
+    from lychnos.llm import blocks
+
+    whole = blocks.block_features
+    blind = lambda lines: ([(*r[:2], 0, 0, 0, 0) for r in whole(lines)[0]], whole(lines)[1])
+    pages = labelled_pages()
+    rows = [(r, b) for _, lines, body in pages for r, b in zip(whole(lines)[0], body, strict=True)]
+    tree = fit_tree(pages)
+    monkeypatch.setattr(blocks, "block_features", blind)
+    other = fit_tree(pages)
+    assert any((blocks.decide(tree, r) >= 0.5) != (blocks.decide(other, (*r[:2], 0, 0, 0, 0)) >= 0.5) for r, _ in rows)
 
 
 def test_long_lines():
-    assert len(line_record("word " * 200_000)) == 5
-    assert analyse("Action X\n" + "The rate is 5% and stays fixed for 9 years. " * 20_000)[1] == [1, 2]
+    assert len(line_record("word " * 200_000)) == 4
+    assert body_lines("Action X\n" + "The rate is 5% and stays fixed for 9 years. " * 20_000) == [1, 2]
+    one = "The rate is 5% and stays fixed for 9 years."
+    assert line_record(one)[0] == line_record(" ".join([one] * 40))[0]
+
+
+def sample(i, text, label):
+    g, f = page_features(text)
+    return Sample(label, i % 10, i % 10, sorted(g), sorted(f))
+
+
+def invented(n):
+    body = "Action {0}\nThe rate is {1}% and stays fixed for 9 years.\nThree quotes suffice for costs up to {1} EUR; above that, five are asked for."
+    return [(i, body.format(chr(65 + i % 26) * 3, i if i % 2 else "~~value~~"), 1 - i % 2) for i in range(n)]
+
+
+def test_the_classifier_decides_what_no_pattern_knows():
+    """A placeholder form that no pattern has is learned from labels; without the classifier the pages are lost."""
+    rows = invented(400)
+    m = fit_model([sample(*r) for r in rows], (1.0, 1.0))
+    said = [score_of(m.weights, m.bias, *page_features(t)) > m.threshold for _, t, _ in invented(460)[400:]]
+    assert said == [bool(y) for _, _, y in invented(460)[400:]]
+    assert not any(exact_check(t) for _, t, _ in rows)
+
+
+def test_threshold():
+    z, y = np.array([-3.0, -1.0, 0.5, 2.0, 4.0]), np.array([0, 0, 1, 0, 1])
+    threshold, margin = choose_threshold(z, y, np.ones(5))
+    assert -1.0 < threshold < 0.5 and margin >= residue_module.SAFETY * (2.0 - threshold) - 1e-9
+    assert not fit_model([sample(i, "plain words here", 0) for i in range(30)], (1.0, 1.0)).fitted
+
+
+def test_classifier_changes_rows(spark, sf_dir):
+    """Ablation: with the classifier switched off nothing is found beyond its margin."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{sf_dir}/scraped_pages.parquet")
+    found = residue_pages(df)
+    assert found.where(F.col("score") > 0).count() > 0
 
 
 def test_every_placeholder_passes_the_quick_look():
-    from lychnos.llm.pages import may_be_open
+    from lychnos.llm.residue import may_be_open
 
     forms = (
         "#{a} {{ b }} {1} ${c} <%= d %> {%e%} @@f@@ %GH% %A_B% __AB__ XXXX _____ [[k]] [insert i] [ποσό] <ποσό> undefined NaN &lt;a&gt; $AB$ [object|Object] [fill|in|x] [συμπληρώστε|ποσό] "
