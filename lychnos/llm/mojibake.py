@@ -1,20 +1,27 @@
 """Garbled text from wrong character encodings: found, attributed and restored.
 
-A latent chain (written in one encoding, read in another) explains each record. Evidence is
-counted per record and chain: multi-byte sequences that only make sense when read back as UTF-8,
-words whose letters make Greek when their bytes are read as Greek, foreign letters or signs inside
-Latin words, and replacement characters where text is lost for good. Evidence is graded none,
-weak or strong. Expectation-maximization then estimates, over all records, how often each grade
-occurs with and without each chain (one pool for the field) and how common each chain is in each
-source; weak evidence counts as much as its source makes it credible. A record is garbled if the
-posterior of some chain reaches one half, and is repaired by the most probable one.
+A latent chain (written in one encoding, read in another) or none explains each record. Evidence is
+counted per record for every chain: multi-byte sequences that only make sense when read back as
+UTF-8, words whose letters make Greek when their bytes are read as Greek, foreign letters or signs
+inside Latin words, replacement characters where text is lost for good. Garbled text mostly shows
+evidence of several chains at once, so none is chosen beforehand: the *pattern* of a record is the
+level of evidence (none, weak, some, many) of all chains.
+
+Expectation-maximization estimates over all records how often each level of each chain's evidence
+occurs under each explanation (one table for the field) and how common each explanation is in each
+source (shrunk to the field). Weak evidence counts as much as its source and the rest of its
+pattern make it credible. A record is garbled if the posterior of being clean is below one half; it
+is repaired by its most probable chain, then judged again, until it is clean or nothing changes.
+
+Records are pooled by source and pattern before the estimation; patterns are few, whatever the
+number of records, so an iteration reads a small table and sends sums of fixed size to the driver.
 
 One pattern search sorts out the records without any suspicious character; it runs in Python, where
 it takes a tenth of what the JVM's regular expressions take for it.
 
 Defined results: null, empty and blank texts are never garbled; a missing source is a source of its
-own; lost characters stay lost (the text is repaired around them); doubly garbled text is repaired
-until nothing changes, four times at most; repeated doc_ids are judged row by row.
+own; lost characters stay lost (the text is repaired around them); text garbled twice or by several
+chains is repaired step by step; repeated doc_ids are judged and repaired row by row.
 """
 
 from __future__ import annotations
@@ -22,12 +29,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lychnos.sources.tables import shared_checkpoint
+from lychnos.sources.tables import broadcast_if_small, shared_checkpoint, spread_if_few
 
 #: Encodings in which UTF-8 bytes may have been read.
 UTF8_READ_AS = ("cp1252", "iso8859_7", "cp1253", "cp1251", "mac_roman", "cp1250", "cp437", "cp850", "cp737")
@@ -42,7 +51,10 @@ CHAINS = (
     "cp1252>latin_1",
     "lost",
 )
-NONE, WEAK, STRONG = 0, 1, 2
+#: Levels of evidence: none, weak hits only, one strong hit (or many weak ones), several strong hits, strong hits and no chain has more.
+NONE, WEAK, SOME, MANY, MOST = 0, 1, 2, 3, 4
+#: Weak hits that count as a strong one.
+MANY_WEAK = 4
 #: Safety bound: reaching it is an error, not a result.
 ROUNDS = 200
 
@@ -244,10 +256,13 @@ def repair(text: str, chain: str) -> str:
 
 
 _CODE = {c: i for i, c in enumerate(CHAINS)}
+#: Explanations: the chains in order, then clean text.
+CLEAN = len(CHAINS)
+_LEVELS = 5
 
 
-def _grade(strong: int, weak: int) -> int:
-    return STRONG if strong or weak >= 4 else WEAK if weak else NONE
+def _level(strong: int, weak: int) -> int:
+    return MANY if strong > 1 else SOME if strong or weak >= MANY_WEAK else WEAK if weak else NONE
 
 
 _suspicious, _suspicious_ordinary = re.compile(SUSPICIOUS).search, re.compile(SUSPICIOUS_ORDINARY).search
@@ -258,91 +273,213 @@ def suspicious(text: str) -> bool:
     return _suspicious(text) is not None or _suspicious_ordinary(text) is not None
 
 
-def _evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("chain", pa.int32()), ("grade", pa.int32()), ("hits", pa.int32())]))
-    for b in batches:
-        got = []
-        for t in b.column(b.num_columns - 1).to_pylist():
-            if not suspicious(t):
-                got.append([])
-                continue
-            got.append([{"chain": _CODE[c], "grade": _grade(s, w), "hits": s + w} for c, (s, w) in evidence(t).items()])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, kind)], names=["id__", "source__", "found"])
+def pattern(text: str) -> str:
+    """The levels of evidence of all chains, one digit each; empty if there is no evidence."""
+    if not suspicious(text):
+        return ""
+    levels = [NONE] * len(CHAINS)
+    found = evidence(text)
+    most = max((s + w for s, w in found.values()), default=0)
+    for c, (s, w) in found.items():
+        level = _level(s, w)
+        levels[_CODE[c]] = MOST if level > WEAK and s + w == most else level
+    return "".join(map(str, levels)) if any(levels) else ""
 
 
-def chain_posteriors(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = ROUNDS) -> DataFrame:
-    """``(id__, source__, chain, posterior)`` for the records with any evidence; ``chain`` is the most probable one."""
-    kinds = dict(df.dtypes)
-    base = df.select(F.col(id_col).alias("id__"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source__"), F.col(text_col).alias("text__")).where(F.col("text__").isNotNull())
-    seen = base.mapInArrow(_evidence_batches, f"id__ {kinds[id_col]}, source__ string, found array<struct<chain:int,grade:int,hits:int>>")
-    # one explanation per record: the strongest grade, then the most hits, then the order of the chains
-    best = F.try_element_at(F.sort_array(F.transform("found", lambda x: F.struct((-x["grade"]).alias("g"), (-x["hits"]).alias("h"), x["chain"].alias("chain")))), F.lit(1))
-    seen = seen.where(F.size("found") > 0).select("id__", "source__", best.alias("b")).select("id__", "source__", F.col("b.chain").alias("chain"), (-F.col("b.g")).alias("grade"))
-    seen = shared_checkpoint(seen)
-    sizes = base.groupBy("source__").agg(F.count("*").alias("n"))
-    table = seen.groupBy("source__", "chain", "grade").agg(F.count("*").alias("k"))
-    table = shared_checkpoint(table.join(sizes, "source__"))  # one row per source, chain and grade: no text, no ids
-    n_all = max(1, sizes.agg(F.sum("n").alias("n")).first()["n"] or 1)
+class Estimate(NamedTuple):
+    """``rates[z, c, l]``: probability that explanation z shows level l of chain c's evidence; ``shares[z]``: how common z is in the field."""
+
+    rates: np.ndarray
+    shares: np.ndarray
+
+
+#: Records that the prior counts as: of how a chain shows its own evidence, of what else is seen with it, and of the shares of a source.
+PRIOR_OWN, PRIOR_CROSS, PRIOR_SOURCE = 200.0, 2.0, 20.0
+#: What clean text may show of one chain at most: some, many, most. More is never learned, or a common chain would pass for clean text.
+CLEAN_LIMITS = (1e-5, 1e-6, 1e-6)
+#: Under a chain, another one shows the most evidence at most so often, or chains would trade places; and some at least so often (weak, some, many), since places of a text differ.
+OTHERS_MOST, OTHERS_LEAST = 0.05, (1e-3, 1e-4, 1e-4)
+
+
+def _prior() -> tuple[np.ndarray, np.ndarray]:
+    """Rates assumed before any record is seen, and the records they count as: a chain shows its own evidence, most of all; others may show it too; clean text hardly ever does."""
+    k = len(CHAINS)
+    r, weight = np.empty((k + 1, k, _LEVELS)), np.full((k + 1, k, 1), PRIOR_CROSS)
+    r[:k] = (0.94, 0.02, 0.02, 0.01, 0.01)
+    r[range(k), range(k)] = (0.01, 0.1, 0.1, 0.1, 0.69)
+    weight[range(k), range(k)] = PRIOR_OWN
+    r[CLEAN] = (0.98 - sum(CLEAN_LIMITS), 0.02, *CLEAN_LIMITS)
+    return r, weight
+
+
+def _onehot(patterns: list[str]) -> np.ndarray:
+    levels = np.array([[int(x) for x in p] for p in patterns])
+    return np.eye(_LEVELS)[levels].reshape(len(patterns), -1)
+
+
+def _log_likelihood(patterns: list[str], rates: np.ndarray) -> np.ndarray:
+    """Of each pattern under each explanation. Weak evidence of several chains has one cause, an odd phrase, so of what is not the explanation's own only the least likely counts."""
+    seen = _onehot(patterns).reshape(len(patterns), 1, *rates.shape[1:])
+    none = np.log(rates[:, :, NONE])
+    odds = (seen * (np.log(rates) - none[:, :, None])).sum(axis=3)  # pattern, explanation, chain
+    loose = (seen[:, 0, :, WEAK] > 0)[:, None, :] & ~np.eye(*rates.shape[:2], dtype=bool)[None]
+    return none.sum(axis=1) + np.where(loose, 0.0, odds).sum(axis=2) + np.where(loose, odds, 0.0).min(axis=2)
+
+
+def posteriors(patterns: list[str], shares: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Probability of each explanation for each pattern."""
+    log = _log_likelihood(patterns, rates) + np.log(shares)
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def source_shares(patterns: list[str], counts: np.ndarray, n: int, e: Estimate) -> np.ndarray:
+    """How common each explanation is in a source of ``n`` records, at the fixed point for the given rates."""
+    log = _log_likelihood(patterns, e.rates)
+    like = np.exp(log - log.max(axis=1, keepdims=True))
+    shares = e.shares
+    for _ in range(ROUNDS):
+        p = like * shares
+        p /= p.sum(axis=1, keepdims=True)
+        got = counts @ p
+        got[CLEAN] += n - counts.sum()
+        new = (got + PRIOR_SOURCE * e.shares) / (n + PRIOR_SOURCE)
+        moved = float(np.abs(new - shares).max())
+        shares = new
+        if moved < 1e-7:
+            return shares
+    return shares  # the outer iteration goes on from here
+
+
+_PATTERNS = pa.list_(pa.struct([("pattern", pa.string()), ("k", pa.int64())]))
 
-    # parameters of the field: chain -> P(weak | garbled), P(weak | clean), P(strong | clean), prior
-    par = {c: (0.2, 0.02, 1e-6, 0.01) for c in range(len(CHAINS))}
-    spark = df.sparkSession
+
+def _read_source(row: list[dict], n: int, e: Estimate) -> tuple[list[str], np.ndarray, np.ndarray]:
+    names, counts = [x["pattern"] for x in row], np.array([x["k"] for x in row], float)
+    return names, counts, source_shares(names, counts, n, e)
+
+
+def expected_counts(table: DataFrame, e: Estimate) -> tuple[np.ndarray, np.ndarray]:
+    """Expected number of records by explanation and level, and by explanation, over the records with evidence."""
+    shape = e.rates.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, total = np.zeros((shape[0], shape[1] * shape[2])), np.zeros(shape[0])
+        for b in batches:
+            for n, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names, counts, shares = _read_source(row, n, e)
+                p = posteriors(names, shares, e.rates) * counts[:, None]
+                levels += p.T @ _onehot(names)
+                total += p.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(levels.ravel(), total).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = table.select("n", "patterns").mapInArrow(run, "sums array<double>").toArrow().column(0).to_pylist()  # a row of fixed length per task
+    sums = np.sum(parts, axis=0) if parts else np.zeros(shape[0] * (1 + shape[1] * shape[2]))
+    return sums[: -shape[0]].reshape(shape), sums[-shape[0] :]
+
+
+def estimate(table: DataFrame, n_all: int, rounds: int = ROUNDS) -> Estimate:
+    """Rates and shares at the fixed point; an error if ``rounds`` rounds do not reach it."""
+    prior, weight = _prior()
+    k = len(CHAINS)
+    e = Estimate(prior, np.append(np.full(k, 0.01 / k), 0.99))
     for _ in range(rounds):
-        pars = spark.createDataFrame([(c, *p) for c, p in par.items()], "chain int, wg double, wc double, sc double, pool double")
-        e = _posterior(table.join(F.broadcast(pars), "chain"))  # a row per chain: a fixed number
-        stats = e.groupBy("chain").agg(
-            F.sum(F.col("k") * F.col("post")).alias("garbled"),
-            F.sum(F.when(F.col("grade") == WEAK, F.col("k") * F.col("post"))).alias("weak_garbled"),
-            F.sum(F.when(F.col("grade") == WEAK, F.col("k") * (1 - F.col("post")))).alias("weak_clean"),
-            F.sum(F.when(F.col("grade") == STRONG, F.col("k") * (1 - F.col("post")))).alias("strong_clean"),
-        )
-        new = dict(par)
-        for r in stats.collect():  # a row per chain
-            g = r["garbled"] or 0.0
-            clean = max(1.0, n_all - g)
-            new[r["chain"]] = (((r["weak_garbled"] or 0.0) + 0.5) / (g + 2.0), ((r["weak_clean"] or 0.0) + 0.5) / clean, max(1e-9, min(1e-3, ((r["strong_clean"] or 0.0) + 1e-3) / clean)), (g + 0.1) / (n_all + 1.0))
-        done = max(abs(new[c][3] - par[c][3]) for c in par) < 1e-6
-        par = new
-        if done:
-            break
-    else:
-        raise RuntimeError(f"the shares of the chains did not converge in {rounds} rounds")
-    pars = spark.createDataFrame([(c, *p) for c, p in par.items()], "chain int, wg double, wc double, sc double, pool double")
-    e = _posterior(table.join(F.broadcast(pars), "chain")).select("source__", "chain", "grade", "post")
-    named = F.element_at(F.array(*(F.lit(c) for c in CHAINS)), F.col("chain") + 1)
-    return seen.join(e, ["source__", "chain", "grade"]).select("id__", "source__", named.alias("chain"), F.col("post").alias("posterior"))
+        levels, total = expected_counts(table, e)
+        total = total.copy()
+        without = n_all - total.sum()
+        total[CLEAN] += without  # records without evidence are clean
+        levels[CLEAN, :, NONE] += without
+        rates = (levels + weight * prior) / (total[:, None, None] + weight)
+        rates[CLEAN, :, SOME:] = np.minimum(rates[CLEAN, :, SOME:], CLEAN_LIMITS)
+        other = ~np.eye(k + 1, k, dtype=bool) & (np.arange(k + 1) != CLEAN)[:, None]
+        rates[other, MOST] = np.minimum(rates[other, MOST], OTHERS_MOST)
+        rates[other, WEAK:MOST] = np.maximum(rates[other, WEAK:MOST], OTHERS_LEAST)
+        rates[:, :, NONE] = np.maximum(1 - rates[:, :, WEAK:].sum(axis=2), 1e-3)
+        shares = (total + 0.1 * np.append(np.full(k, 1 / k), 1.0)) / (n_all + 0.2)
+        moved = max(float(np.abs(shares - e.shares).max()), float(np.abs(rates - e.rates).max()))
+        e = Estimate(rates, shares / shares.sum())
+        if moved < 1e-5:
+            return e
+    raise RuntimeError(f"the shares of the chains did not converge in {rounds} rounds")
+
+
+def _evidence_batches(keep_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [pattern(t) for t in b.column(2).to_pylist()]
+            at = pa.array([i for i, p in enumerate(got) if p], pa.int32())
+            part = b.take(at)
+            out = [part.column(0), part.column(1), pa.array([p for p in got if p], pa.string())]
+            yield pa.RecordBatch.from_arrays([*out, part.column(2)] if keep_text else out, names=["id__", "source__", "pattern", *(["text__"] if keep_text else [])])
 
+    return run
 
-def _posterior(t: DataFrame) -> DataFrame:
-    """``post``: the probability that the records of a row are garbled, with the source's own share shrunk to the pool's."""
-    strong = F.sum(F.when(F.col("grade") == STRONG, F.col("k")).otherwise(0)).over(_by_source_chain())
-    prior = (strong + 20 * F.col("pool")) / (F.col("n") + 20)
-    weak = F.col("grade") == WEAK
-    garbled = prior * F.when(weak, F.col("wg")).otherwise(1 - F.col("wg"))
-    clean = (1 - prior) * F.when(weak, F.col("wc")).otherwise(F.col("sc"))
-    return t.withColumn("post", garbled / (garbled + clean))
 
+def judged_records(df: DataFrame, id_col: str, text_col: str, source_col: str, keep_text: bool = False, rounds: int = ROUNDS) -> tuple[DataFrame, Estimate]:
+    """``(id__, source__, pattern[, text__], chain, posterior, clean, shares)`` for the records with any evidence, and the estimate.
 
-def _by_source_chain():
-    from pyspark.sql.window import Window
+    ``chain`` is the most probable chain, ``posterior`` its probability, ``clean`` that of clean
+    text, ``shares`` how common each explanation is in the source.
+    """
+    kinds = dict(df.dtypes)
+    base = df.select(F.col(id_col).alias("id__"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source__"), F.col(text_col).alias("text__")).where(F.col("text__").isNotNull())
+    text = ", text__ string" if keep_text else ""
+    seen = shared_checkpoint(spread_if_few(base).mapInArrow(_evidence_batches(keep_text), f"id__ {kinds[id_col]}, source__ string, pattern string{text}"))
+    sizes = base.groupBy("source__").agg(F.count("*").alias("n"))
+    pooled = seen.groupBy("source__", "pattern").agg(F.count("*").alias("k")).groupBy("source__").agg(F.collect_list(F.struct("pattern", "k")).alias("patterns"))  # the patterns of a source are few, however many its records
+    table = shared_checkpoint(pooled.join(sizes, "source__"))
+    n_all = max(1, sizes.agg(F.sum("n").alias("n")).first()["n"] or 1)
+    e = estimate(table, n_all, rounds)
 
-    return Window.partitionBy("source__", "chain")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for source, n, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                names, _, shares = _read_source(row, n, e)
+                p = posteriors(names, shares, e.rates)
+                best = p[:, :CLEAN].argmax(axis=1)
+                cols = [pa.array([source] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([CHAINS[i] for i in best], pa.string())]
+                cols += [pa.array(p[range(len(names)), best]), pa.array(p[:, CLEAN]), pa.array([shares.tolist()] * len(names), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["source__", "pattern", "chain", "posterior", "clean", "shares"])
+
+    said = shared_checkpoint(table.select("source__", "n", "patterns").mapInArrow(judge, "source__ string, pattern string, chain string, posterior double, clean double, shares array<double>"))
+    return seen.join(broadcast_if_small(said), ["source__", "pattern"]), e
 
 
 def garbled_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(id_col, chain, posterior)`` of the records that some chain garbled."""
-    return chain_posteriors(df, id_col, text_col, source_col).where("posterior >= 0.5").select(F.col("id__").alias(id_col), "chain", "posterior")
+    return judged_records(df, id_col, text_col, source_col)[0].where("clean < 0.5").select(F.col("id__").alias(id_col), "chain", "posterior")
+
+
+def repaired_text(text: str, chain: str, shares: np.ndarray, rates: np.ndarray) -> str:
+    """``text`` repaired by ``chain``, then by the chain that explains what is left, until it is clean or no chain changes it."""
+    closed: set[str] = set()
+    for _ in range(2 * len(CHAINS)):
+        better = repair(text, chain)
+        if better == text:
+            closed.add(chain)
+        text = better
+        left = pattern(text)
+        if not left:
+            break
+        p = posteriors([left], shares, rates)[0]
+        if p[CLEAN] >= 0.5:
+            break
+        chain = next((CHAINS[i] for i in np.argsort(-p[:CLEAN], kind="stable") if CHAINS[i] not in closed and left[i] != "0"), "")
+        if not chain:
+            break
+    return text
 
 
 def repaired_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(id_col, chain, posterior, text_repaired)`` of the garbled records."""
-    bad = garbled_documents(df, id_col, text_col, source_col)
+    bad, e = judged_records(df, id_col, text_col, source_col, keep_text=True)
     kinds = dict(df.dtypes)
+    rates = e.rates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [repair(t, c) for t, c in zip(b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            got = [repaired_text(t, c, np.array(s), rates) for t, c, s in zip(*(b.column(i).to_pylist() for i in (4, 1, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.string())], names=[id_col, "chain", "posterior", "text_repaired"])
 
-    both = bad.join(df.select(id_col, F.col(text_col).alias("text__")).where(F.col("text__").isNotNull()), id_col)
-    return both.select(id_col, "chain", "posterior", "text__").mapInArrow(run, f"`{id_col}` {kinds[id_col]}, chain string, posterior double, text_repaired string")
+    rows = bad.where("clean < 0.5").select("id__", "chain", "posterior", "shares", "text__")
+    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, chain string, posterior double, text_repaired string")

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 
-from lychnos.llm.mojibake import evidence, garbled_documents, repair, repaired_documents
+from lychnos.llm import mojibake as m
+from lychnos.llm.mojibake import evidence, garbled_documents, judged_records, pattern, repair, repaired_documents
 
 GREEK = "Ο φάκελος κατατίθεται στο Ταμείο και εξετάζεται μέσα σε 40 εργάσιμες – το ίδιο ισχύει έως 5 €."
 FRENCH = "Rénover à Chênelle : le contrôle porte sur 51 m² dès réception."
@@ -68,8 +70,6 @@ def test_very_long_text():
 def test_quick_search_lets_every_pattern_through():
     import random
 
-    from lychnos.llm import mojibake as m
-
     patterns = [*m._NAIVE.values(), m._MAC_READ_AS_CP1252, m._CONTROLS]
     for t in ("up to 5.000 Ä", "aquí te", "and …tat", "AM…LIE", "PR€T"):
         assert m.evidence(t) and m.suspicious(t)
@@ -81,9 +81,46 @@ def test_quick_search_lets_every_pattern_through():
 
 
 def test_unfinished_estimates_are_an_error(spark):
-    from lychnos.llm.mojibake import chain_posteriors
-
     df = spark.createDataFrame([(1, "caf\u00c3\u00a9", "s"), (2, "plain", "s")], "doc_id bigint, text string, source string")
-    assert chain_posteriors(df, "doc_id", "text", "source").count() == 1
+    assert judged_records(df, "doc_id", "text", "source")[0].count() == 1
     with pytest.raises(RuntimeError, match="converge"):
-        chain_posteriors(df, "doc_id", "text", "source", rounds=1)
+        judged_records(df, "doc_id", "text", "source", rounds=1)
+
+
+WEAK = "The rate is fixed \u00f1 the same holds for all."
+
+
+def test_weak_evidence_counts_as_its_source_makes_it_credible(spark):
+    """The estimate decides: the same weak sign is garbled text in one source and clean in another; without it both are alike."""
+    bad = wrong("Rénover dès réception – le contrôle", "cp1252", "mac_roman")
+    assert pattern(WEAK).count("1") == 1 and set(pattern(WEAK)) == {"0", "1"}
+    rows = [(i, bad, "hot") for i in range(60)] + [(100 + i, "clean words", "hot") for i in range(30)]
+    rows += [(500 + i, "clean words", "calm") for i in range(900)] + [(1, WEAK, "hot"), (2, WEAK, "calm")]
+    df = spark.createDataFrame([(i + 10_000 if i > 2 or t != WEAK else i, t, s) for i, t, s in rows], "doc_id bigint, text string, source string")
+    got = {r.doc_id for r in garbled_documents(df).collect()}
+    assert 1 in got and 2 not in got
+
+
+def test_the_posterior_chooses_the_chain():
+    """Of two chains with equally many hits the estimate prefers the common one; a fixed order would not."""
+    prior, _ = m._prior()
+    k = len(m.CHAINS)
+    a, b = m._CODE["utf8>cp1252"], m._CODE["utf8>cp1250"]
+    p = "".join("4" if i in (a, b) else "0" for i in range(k))
+    for usual in (a, b):
+        shares = np.append(np.full(k, 1e-4), 0.9)
+        shares[usual] = 0.05
+        assert m.posteriors([p], shares, prior)[0].argmax() == usual
+
+
+def test_parts_garbled_by_different_chains(spark):
+    text = wrong(GREEK, "utf8", "cp1252") + "\n" + wrong("Σχέδιο Ορνελία για όλους", "utf8", "mac_roman")
+    rows = [(0, text, "s")] + [(1 + i, wrong(GREEK, "utf8", "cp1252"), "s") for i in range(20)] + [(100 + i, "clean", "s") for i in range(100)]
+    fixed = {r.doc_id: r.text_repaired for r in repaired_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert fixed[0] == GREEK + "\nΣχέδιο Ορνελία για όλους"
+
+
+def test_repeated_ids_are_repaired_row_by_row(spark):
+    rows = [(7, wrong(GREEK, "utf8", "cp1252"), "s"), (7, wrong(GERMAN, "utf8", "cp1252"), "s"), (7, "clean", "s")]
+    got = repaired_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted(r.text_repaired for r in got) == sorted([GREEK, GERMAN])
