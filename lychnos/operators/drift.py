@@ -4,8 +4,7 @@ Each readable line is parsed once into tagged values: name, kind (text, number,
 list of texts, list of objects) and the leaf texts. Kinds are fused per file and name (parallel
 schema fusion: alternatives are kept and counted, the most frequent one is the file's type), files
 are compared with the previous file of their feed, and a field that went is matched with one that
-came by the similarity of their value profiles (hashed value features over all files, tf-idf
-cosine), each with its mutual best partner, and again among those left over.
+came by the similarity of their value profiles (value features over all files, tf-idf cosine), each with its mutual best partner, and again among those left over.
 
 The table of records and the list of alternatives go below the names: each value is walked to its
 inner values, tagged with path and kind. Paths are relative to the name: ``""`` is the value itself,
@@ -22,9 +21,9 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections import Counter
 from collections.abc import Collection, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +34,6 @@ from lychnos.operators.neighbours import with_next
 from lychnos.sources.tables import broadcast_if_small, shared_checkpoint
 
 TEXT, NUMBER, BOOLEAN, OBJECT, TEXTS, OBJECTS = "text", "number", "true/false", "object", "list of texts", "list of objects"
-#: Hash space of value features; bounds the profile of a name.
-FEATURES = 4096
 #: Least cosine of two names' value profiles to call them one field.
 SAME_FIELD = 0.5
 
@@ -88,74 +85,69 @@ def _parse(raw: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def _features(texts: list[str]) -> list[str]:
-    out = []
-    for t in texts:
-        if "@" in t:
-            out.append("#mail")
-        if "://" in t:
-            out.append("#url")
-        if t.startswith("+") or "-555-" in t or re.fullmatch(r"[^\d]{0,12}\d{2,4}([ -]\d{2,4}){2,}", t):
-            out.append("#phone")
-        if re.fullmatch(r"\d{4}-\d\d-\d\d.*|\d{1,2}[./]\d{1,2}[./]\d{4}", t):
-            out.append("#date")
-            continue
-        if t in ("true", "false"):
-            out.append("#bool")
-            continue
-        if len(t) <= 16:
-            out.append("#shape" + re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", t)))
-        if "@" not in t and "://" not in t:
-            out += [w.casefold() for w in _WORD.findall(t)]
-            for n in _NUM.findall(t):
-                out.append(f"#n{len(n)}")
-            out += [f"#{c}" for c in ("€", "%", "/", ".") if c in t]
-            out.append("#words" + str(min(6, len(t.split()))))
-    return out
-
+def _text_features(t: str) -> frozenset[str]:
+    """What a single text looks like: contacts, dates, shape, words, sizes of numbers, signs."""
+    if re.fullmatch(r"\d{4}-\d\d-\d\d.*|\d{1,2}[./]\d{1,2}[./]\d{4}", t):
+        return frozenset({"#date"})
+    if t in ("true", "false"):
+        return frozenset({"#bool"})
+    out = {"#shape" + _shape_of(t)}
+    mail, url = "@" in t, "://" in t
+    if mail:
+        out.add("#mail")
+    if url:
+        out.add("#url")
+    if t.startswith("+") or re.fullmatch(r"[^\d]{0,12}\d{2,4}([ -]\d{2,4}){2,}", t):
+        out.add("#phone")
+    if not mail and not url:
+        out.update(w.casefold() for w in _WORD.findall(t))
+        out.update(f"#n{len(n)}" for n in _NUM.findall(t))
+        out.update(f"#{c}" for c in ("€", "%", "/", ".") if c in t)
+        out.add(f"#words{min(6, len(t.split()))}")
+    return frozenset(out)
 
-_VALUES = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("texts", pa.list_(pa.string()))]))
 
+_remembered = lru_cache(maxsize=100_000)(_text_features)
 
-def tagged_lines(files: DataFrame) -> DataFrame:
-    """``(feed_id, file_id, exported_at, line_no, values)``; ``values`` is null for an unreadable line."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = []
-            for raw in b.column(4).to_pylist():
-                o = _parse(raw)
-                got.append(None if o is None else [{"name": k, "kind": _kind(v), "texts": _leaves(v)} for k, v in o.items()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(got, _VALUES)], names=["feed_id", "file_id", "exported_at", "line_no", "values"])
+def _features(texts: list[str]) -> set[str]:
+    """The features of all texts of a value; short texts repeat, so theirs are kept."""
+    return set().union(*(_remembered(t) if len(t) <= 200 else _text_features(t) for t in texts))
 
-    kinds = dict(files.dtypes)
-    cols = files.select("feed_id", "file_id", "exported_at", "line_no", "raw_json")
-    return cols.mapInArrow(run, f"feed_id {kinds['feed_id']}, file_id {kinds['file_id']}, exported_at {kinds['exported_at']}, line_no {kinds['line_no']}, values array<struct<name:string,kind:string,texts:array<string>>>")
 
+def _shape_of(text: str) -> str:
+    """Letters and digits masked and runs collapsed, so that shapes stay short whatever the length."""
+    return re.sub(r"(.{1,3}?)\1+", r"\1", re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", text)))
 
-def name_profiles(files: DataFrame) -> DataFrame:
-    """``(name, feature, weight)``: unit-length tf-idf profile of the values seen under each name."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+def line_counts(files: DataFrame) -> DataFrame:
+    """One pass over the lines: ``(feed_id, file_id, exported_at, name, kind, n)`` rows, how many readable lines of a file have the name with that kind, and ``(name, feature, n)`` rows, how many values of the name have the feature.
 
-        def flush() -> pa.RecordBatch:
-            keys = list(total)
-            cols = [pa.array([k for k, _ in keys], pa.string()), pa.array([f for _, f in keys], pa.int32()), pa.array([float(total[k]) for k in keys], pa.float64())]
-            total.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["name", "feature", "n"])
+    Counts are summed up in each task before they leave it, and again by the aggregations that follow.
+    """
+    kinds = dict(files.dtypes)
+    cols = files.select("feed_id", "file_id", "exported_at", "raw_json")
+    whole = ["feed_id", "file_id", "exported_at"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                for k, v in (_parse(raw) or {}).items():
-                    for f in set(_features(_leaves(v))):
-                        total[k, zlib.crc32(f.encode()) % FEATURES] += 1
-            if len(total) > 200_000:
-                yield flush()
-        if total:
-            yield flush()
-
-    counts = files.select("raw_json").mapInArrow(run, "name string, feature int, n double").groupBy("name", "feature").agg(F.sum("n").alias("n"))
+            ids = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            seen: Counter = Counter()
+            features: Counter = Counter()
+            for key, raw in zip(ids, b.column(3).to_pylist(), strict=True):
+                for name, v in (_parse(raw) or {}).items():
+                    seen[(*key, name, _kind(v))] += 1
+                    features.update((name, f) for f in _features(_leaves(v)))
+            rows = [(*k, None, n) for k, n in seen.items()] + [(None, None, None, name, None, f, n) for (name, f), n in features.items()]
+            types = [*(b.schema.field(i).type for i in range(3)), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*whole, "name", "kind", "feature", "n"])
+
+    return cols.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in whole) + ", name string, kind string, feature string, n bigint")
+
+
+def name_profiles(counts: DataFrame) -> DataFrame:
+    """``(name, feature, weight)``: unit-length tf-idf profile of the values seen under each name, from :func:`line_counts`."""
+    counts = counts.where(F.col("feature").isNotNull()).groupBy("name", "feature").agg(F.sum("n").alias("n"))
     counts = shared_checkpoint(counts)
     names = counts.select("name").distinct().count()
     df = counts.groupBy("feature").agg(F.count("*").alias("df"))
@@ -166,10 +158,9 @@ def name_profiles(files: DataFrame) -> DataFrame:
     return shared_checkpoint(w.join(norm, "name").where("norm > 0").select("name", "feature", (F.col("w") / F.col("norm")).alias("weight")))
 
 
-def file_schemas(lines: DataFrame) -> DataFrame:
-    """``(feed_id, exported_at, file_id, fields)``: fused ``name -> (type, alternatives)`` of each file, names sorted."""
-    one = lines.where(F.col("values").isNotNull()).select("feed_id", "file_id", "exported_at", F.inline("values"))
-    alt = one.groupBy("feed_id", "file_id", "exported_at", "name", "kind").agg(F.count("*").alias("n"))
+def file_schemas(counts: DataFrame) -> DataFrame:
+    """``(feed_id, exported_at, file_id, fields)``: fused ``name -> (type, alternatives)`` of each file, names sorted, from :func:`line_counts`."""
+    alt = counts.where(F.col("feature").isNull()).groupBy("feed_id", "file_id", "exported_at", "name", "kind").agg(F.sum("n").alias("n"))
     known = F.struct((-F.col("n")).alias("n"), F.col("kind").alias("kind"))
     per = alt.groupBy("feed_id", "file_id", "exported_at", "name").agg(
         F.min(F.when(F.col("kind").isNotNull(), known)).alias("best"),
@@ -199,7 +190,8 @@ def _best_partners(cand: DataFrame) -> DataFrame:
 
 def schema_changes(files: DataFrame) -> DataFrame:
     """``(file_id, change_kind, old_name, new_name)`` of each file against the previous one of its feed."""
-    schemas = file_schemas(tagged_lines(files)).withColumn("fields", F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"))))
+    counts = shared_checkpoint(line_counts(files))  # each line is parsed once; what is kept are counts
+    schemas = file_schemas(counts).withColumn("fields", F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"))))
     steps = with_next(schemas, ["feed_id"], ["exported_at", "file_id"], ["file_id", "fields"]).where(F.col("next_file_id").isNotNull())
     names = lambda c: F.transform(c, lambda f: f["name"])
     steps = steps.select(
@@ -216,7 +208,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
 
     pairs = steps.where("size(gone) > 0 and size(come) > 0").select("file_id", F.explode("gone").alias("old_name"), "come", kinds("was").alias("a"), kinds("now").alias("b"))
     pairs = pairs.select("file_id", "old_name", F.explode("come").alias("new_name"), "a", "b")
-    sims = _similar(pairs.select("old_name", "new_name").distinct(), name_profiles(files)).where(F.col("sim") >= SAME_FIELD)
+    sims = _similar(pairs.select("old_name", "new_name").distinct(), name_profiles(counts)).where(F.col("sim") >= SAME_FIELD)
     cand = pairs.join(broadcast_if_small(shared_checkpoint(sims)), ["old_name", "new_name"])
     mutual = _best_partners(cand)
     renamed = shared_checkpoint(mutual.select("file_id", "old_name", "new_name", F.try_element_at("a", F.col("old_name")).alias("ka"), F.try_element_at("b", F.col("new_name")).alias("kb")))
@@ -238,7 +230,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
 
 def canonical_names(files: DataFrame, schema_names: list[str]) -> DataFrame:
     """``(name, canonical)``: each name of the files, with the schema name whose values it shares, else itself."""
-    profiles = name_profiles(files)
+    profiles = name_profiles(line_counts(files))
     names = profiles.select("name").distinct()
     wanted = F.explode(F.array(*map(F.lit, schema_names)))
     pairs = names.where(~F.col("name").isin(schema_names)).select(F.col("name").alias("old_name"), wanted.alias("new_name"))

@@ -46,14 +46,16 @@ def spread_if_few(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, row_overhead: int = 64) -> DataFrame:
-    """Hint a broadcast of ``df`` only if its measured size is under ``limit_bytes``; else leave the join to a shuffle.
-
-    ``df`` should be a source table or a checkpoint, since it is read once more to be measured.
-    """
+def measured_bytes(df: DataFrame, row_overhead: int = 64) -> int:
+    """Bytes of ``df`` as text; ``df`` should be a source table or a checkpoint, since it is read once more."""
     widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
-    total = widths[0]
-    for w in widths[1:]:
-        total = total + w
-    got = df.agg(F.coalesce(F.sum(total + F.lit(row_overhead)), F.lit(0)).alias("b")).first()["b"]
-    return F.broadcast(df) if got <= limit_bytes else df
+    return df.agg(F.coalesce(F.sum(sum(widths[1:], widths[0]) + F.lit(row_overhead)), F.lit(0)).alias("b")).first()["b"]
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    return measured_bytes(df) <= BROADCAST_LIMIT_BYTES
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` only if its measured size is under ``limit_bytes``; else leave the join to a shuffle."""
+    return F.broadcast(df) if measured_bytes(df) <= limit_bytes else df
