@@ -5,7 +5,7 @@ character, so that texts that differ only in their ordinary characters share a *
 delimiters, quotes, brackets and list marks stay, words become ``a``, e-mail addresses ``E``, web
 addresses ``U``, telephone numbers ``P``, numbering ``N``. Python sees each distinct skeleton once
 and resolves it to token spans; the spans are joined back (broadcast if their measured size allows
-it) and the values are cut out by position, again on the JVM side.
+it, else only those of common skeletons, whose number is bounded) and the values are cut out by position, again on the JVM side.
 
 Defined results: null, empty and blank texts give no row; empty pieces are dropped and not counted;
 an unclosed quote or bracket is an ordinary character; repeated values stay as separate rows;
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lychnos.sources.tables import broadcast_if_small, shared_checkpoint
+from lychnos.sources.tables import broadcast_if_small, fits_broadcast, shared_checkpoint
 
 _URL = r"https?://[^\s;,|\"«»<>()\[\]{}•']+"
 _MAIL = r"[\p{L}\p{N}_.%+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
@@ -175,14 +175,35 @@ def resolve(s: str) -> list[tuple[int, int]]:
 def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
     for b in batches:
-        keys = b.column(0).to_pylist()
-        got = [[{"at": a, "n": n} for a, n in resolve(k)] for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(got, spans)], names=["skeleton", "spans"])
+        got = [[{"at": a, "n": n} for a, n in resolve(k)] for k in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, spans)], names=["skeleton", "n", "spans"])
+
+
+#: A skeleton of at least one in so many texts is common; there are at most so many of these.
+COMMON = 10_000
 
 
 def split_rules(skeletons: DataFrame) -> DataFrame:
-    """One row per distinct ``skeleton`` with its ``spans``."""
-    return skeletons.select("skeleton").distinct().mapInArrow(_resolve_batches, f"skeleton string, spans {SPANS}")
+    """One row per distinct ``skeleton`` with its ``spans`` and ``n``, the number of its texts."""
+    counted = skeletons.groupBy("skeleton").agg(F.count("*").alias("n"))
+    return counted.mapInArrow(_resolve_batches, f"skeleton string, n bigint, spans {SPANS}")
+
+
+def with_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``texts`` with the ``spans`` of their skeleton; ``rules`` is a checkpoint.
+
+    Rules that fit are broadcast. Beyond that only those of common skeletons are, whose number is
+    bounded; the rest is joined by a shuffle, in which no key is hot.
+    """
+    pick = rules.select("skeleton", "spans")
+    if fits_broadcast(pick):
+        return texts.join(F.broadcast(pick), "skeleton")
+    total = rules.agg(F.sum("n").alias("n")).first()["n"]
+    is_common = F.col("n") * COMMON >= total
+    common = broadcast_if_small(rules.where(is_common).select("skeleton", "spans"))
+    hot = texts.join(common, "skeleton", "left")
+    rare = hot.where("spans is null").drop("spans").join(rules.where(~is_common).select("skeleton", "spans"), "skeleton")
+    return hot.where("spans is not null").unionByName(rare)
 
 
 def cut_values(toks: Column, spans: Column) -> Column:
@@ -207,15 +228,10 @@ def split_packed(df: DataFrame, id_col: str, fields: list[str], version_col: str
         return one.select("rid", "field_name", "part", tokens(F.col("text")).alias("toks"))
 
     rules = shared_checkpoint(split_rules(pieces(base).select(skeleton(F.col("toks")).alias("skeleton"))))
-    rules = broadcast_if_small(rules)
     if version_col:
         base = base.groupBy("rid").agg(F.max_by("packed", F.coalesce("v", F.lit("1900-01-01").cast("timestamp"))).alias("packed"))
-    cut = (
-        pieces(base)
-        .withColumn("skeleton", skeleton(F.col("toks")))
-        .join(rules, "skeleton")
-        .select("rid", "field_name", "part", cut_values(F.col("toks"), F.col("spans")).alias("items"))
-    )
+    cut = with_rules(pieces(base).withColumn("skeleton", skeleton(F.col("toks"))), rules)
+    cut = cut.select("rid", "field_name", "part", cut_values(F.col("toks"), F.col("spans")).alias("items"))
     if any(kinds[f].startswith("array") for f in fields):
         cut = cut.groupBy("rid", "field_name").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "items"))), lambda x: x["items"])).alias("items"))
     return cut.select(F.col("rid").alias(id_col), "field_name", F.posexplode("items").alias("pos", "item_text")).withColumn("pos", F.col("pos") + 1)

@@ -62,3 +62,13 @@ def test_long_text_and_empty_table(spark):
 def test_resolve_never_fails(s):
     for at, n in resolve(s):
         assert 1 <= at <= len(s) and n > 0
+
+
+@pytest.mark.parametrize("common", [1, 3, 10_000])
+def test_rules_beyond_the_broadcast_limit(spark, monkeypatch, common):
+    from lychnos.operators import packed
+
+    monkeypatch.setattr(packed, "fits_broadcast", lambda _: False)
+    monkeypatch.setattr(packed, "COMMON", common)
+    values = ["one"] * 20 + ["a; b"] * 4 + ["x, y, z", '"q; r"; s']
+    assert split(spark, values) == [["one"]] * 20 + [["a", "b"]] * 4 + [["x", "y", "z"], ["q; r", "s"]]
