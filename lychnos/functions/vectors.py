@@ -75,9 +75,13 @@ def top_k_per_query(pairs: DataFrame, queries: DataFrame, k: int, vec_col: str =
             for ids, rows, qids, qrows in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 sim = _unit(qrows, len(qids)) @ _unit(rows, len(ids)).T
                 key = np.array(ids)
-                take = np.lexsort((-key[None, :].repeat(len(qids), 0), -sim), axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(qids), 1))
-                q = np.repeat(np.array(qids), take.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key[take].ravel()), pa.array(np.take_along_axis(sim, take, 1).ravel())], names=names)
+                least = np.partition(sim, -k, axis=1)[:, -k:].min(axis=1) if len(ids) > k else np.full(len(qids), -np.inf)
+                q, at = np.nonzero(sim >= least[:, None])  # the best k and whatever ties with the last of them
+                order = np.lexsort((-key[at], -sim[q, at], q))
+                q, at = q[order], at[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, at = q[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(qids)[q]), pa.array(key[at]), pa.array(sim[q, at])], names=names)
 
     rows, asked = _blocks(pairs, id_col, vec_col, "row"), _blocks(queries, "query_id", "query", "query")
     scored = rows.crossJoin(asked).mapInArrow(best, f"query_id bigint, {id_col} bigint, sim double")

@@ -15,7 +15,7 @@ from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 Message = dict[str, Any]
 
@@ -105,3 +105,43 @@ def with_model(df: DataFrame, messages_col: str, backend: Backend | Callable[[],
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, out_col, err])
 
     return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out_col, StringType()), StructField(err, StringType())]))
+
+
+def streamed(df: DataFrame, messages_col: str, backend: Backend | Callable[[], Backend], keys: tuple[str, ...] = ("conv_id", "turn"), format: str = "", temperature: float = 0.8, **options: Any) -> DataFrame:
+    """``(keys, seq, chunk, done)``: the pieces of each streamed reply, as a message log takes them.
+
+    The pieces of a reply are counted from 0 and the last has ``done``; a reply that fails keeps the
+    pieces that came and is never done; rows without messages give no pieces.
+    """
+    make = backend if callable(backend) and not hasattr(backend, "ask") else (lambda: backend)
+    if hasattr(backend, "ask"):
+        require_backend(backend)
+    src = df.select(*keys, messages_col)
+    fields = [src.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for b in batches:
+            at, seq, chunks, done = [], [], [], []
+            for i, messages in enumerate(b.column(len(keys)).to_pylist()):
+                if not messages:
+                    continue
+                n, whole = 0, False
+                try:
+                    clean = [{k: v for k, v in m.items() if v is not None} for m in messages]
+                    got = model.ask(clean, format=format, temperature=temperature, stream=True, **options)
+                    for piece in [got] if isinstance(got, str) else got:
+                        at.append(i)
+                        seq.append(n)
+                        chunks.append(piece["message"]["content"] if type(piece) is dict else piece)
+                        done.append(False)
+                        n += 1
+                    whole = True
+                except Exception:  # one bad row must not end the job
+                    pass
+                if n and whole:
+                    done[-1] = True
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[:-1]), pa.array(seq, pa.int64()), pa.array(chunks, pa.string()), pa.array(done, pa.bool_())], names=[*keys, "seq", "chunk", "done"])
+
+    return src.mapInArrow(run, StructType([*fields, StructField("seq", LongType()), StructField("chunk", StringType()), StructField("done", BooleanType())]))

@@ -1,7 +1,9 @@
 """Composite pipelines: DataFrame in, DataFrame out, one ``with_model`` stage per call of a model.
 
 Every function adds columns to its input and keeps the rest. ``log`` columns hold the messages
-that the step adds to a conversation, in order.
+that the step adds to a conversation, in order. Replies differ from one asking to the next, so where
+a function reads them more than once it writes them down first (``shared_checkpoint``): each row is
+asked once, and no row is lost or doubled between two outputs.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def search_online(df: DataFrame, backend, searcher: Callable[[DataFrame], DataFr
     ``searcher`` turns (id, search_query) into (id, rank, url, title, description); ``reader`` adds
     ``page_text`` to rows with ``url``. Questions without a query or a choice get a null answer.
     """
-    asked = search_query(df, backend, prompt)
+    asked = shared_checkpoint(search_query(df, backend, prompt))
     found = searcher(asked.where("search_query is not null").select(id_col, "search_query")).where(F.col("rank") <= hits)
     listed = found.groupBy(id_col).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "title", "description"))), lambda h: F.struct(h["url"].alias("url"), h["title"].alias("title"), h["description"].alias("description")))).alias("urls__"))
     ready = asked.join(listed, id_col, "left")
@@ -129,7 +131,7 @@ def search_online(df: DataFrame, backend, searcher: Callable[[DataFrame], DataFr
     before = F.coalesce(F.col(history), F.array().cast(MESSAGES)) if history else F.array().cast(MESSAGES)
     ready = ready.withColumn("messages__", F.when(F.col("search_query").isNotNull(), F.concat(before, F.array(message("user", picker)))))
     picked = with_model(ready, "messages__", backend, "pick_json", format="json").withColumn("url", key(safe_json("pick_json"), "url")).drop("messages__", "urls__")
-    read = reader(picked).withColumn("final__", fill(ANSWER_USER, {"summary": truncated(F.col("page_text")), "question": F.col(prompt)}))
+    read = reader(shared_checkpoint(picked)).withColumn("final__", fill(ANSWER_USER, {"summary": truncated(F.col("page_text")), "question": F.col(prompt)}))
     read = read.withColumn("final__", F.when(F.col("url").isNotNull(), F.col("final__")))
     system = _system(Role.RESPONDER.value, extra)
     read = read.withColumn("messages__", F.when(F.col("final__").isNotNull(), prompt_list(system, F.col("final__"))))
@@ -242,7 +244,7 @@ def pages_to_records(pages: DataFrame, backend, url: str = "url", content: str =
     """Pages to checked records and, apart from them, rejected replies."""
     ready = pages.withColumn("messages__", extraction_messages(F.col(url), F.col(content)))
     replies = with_model(ready, "messages__", backend, "reply", format="json", temperature=0.1).drop("messages__")
-    return split_outcomes(read_records(replies, "reply", shape), content, [url, *keep], "reply")
+    return split_outcomes(read_records(shared_checkpoint(replies), "reply", shape), content, [url, *keep], "reply")
 
 
 def pages_to_raw_records(pages: DataFrame, backend, url: str = "url", content: str = "page_text", keep: Sequence[str] = ()) -> DataFrame:
@@ -271,13 +273,21 @@ def route_by_model(df: DataFrame, planner, chooser, prompt: str = "prompt") -> D
     return chosen.withColumn("route", F.coalesce("function", F.lit("no_internet"))).drop("function", "parameters", "raw_response", "raw_response_error")
 
 
+def answer_by_route(df: DataFrame, planner, chooser, backend, searcher: Callable[[DataFrame], DataFrame], reader: Callable[[DataFrame], DataFrame], id_col: str = "prompt_id", prompt: str = "prompt") -> DataFrame:
+    """``(id_col, route, reply)``: a model chooses the route of each prompt; the search agent answers the ones for the internet, a general agent the rest."""
+    routed = shared_checkpoint(route_by_model(df, planner, chooser, prompt))
+    online = search_online(routed.where("route = 'internet'"), backend, searcher, reader, prompt, id_col)
+    plain = ask(routed.where("route = 'no_internet'"), backend, prompt)
+    return online.select(id_col, "route", "reply").unionByName(plain.select(id_col, "route", "reply"))
+
+
 def answer_turns(turns: DataFrame, sources: DataFrame, backend, searcher: Callable[[DataFrame], DataFrame], reader: Callable[[DataFrame], DataFrame], id_col: str = "prompt_id", prompt: str = "prompt", history: str | None = None) -> DataFrame:
     """``(id_col, route, reply)`` for the inputs of chats: exits and blanks are left out, explicit addresses and
     inputs that resemble a trusted source go online, the rest and whatever found nothing online is plain chat.
     """
     first = match_sources(turns, sources, id_col, prompt).groupBy(id_col).agg(F.min(F.struct("domain", "pos", "url"))["url"].alias("trusted_url"))
     routed = turns.join(first, id_col, "left").withColumn("route", route(F.col(prompt), F.col("trusted_url"))).where(F.col("route").isNotNull())
-    online = search_online(routed.where("route = 'online'").drop("trusted_url"), backend, searcher, reader, prompt, id_col, history=history)
+    online = shared_checkpoint(search_online(routed.where("route = 'online'").drop("trusted_url"), backend, searcher, reader, prompt, id_col, history=history))
     found = online.where("reply is not null").select(id_col, "route", "reply")
     plain = routed.join(found.select(id_col), id_col, "left_anti")
     chat = ask(plain, backend, prompt, history=history).select(id_col, F.lit("chat").alias("route"), "reply")

@@ -14,9 +14,10 @@ from lychnos.functions import patterns as P
 from lychnos.functions import text as X
 from lychnos.functions.signature import registry
 from lychnos.functions.vectors import top_k, top_k_per_query
-from lychnos.operators import chat, fuzzy
+from lychnos.operators import chat, fuzzy, model_stage
 from lychnos.operators.model_stage import Rule
 from lychnos.plans import agents
+from lychnos.sources import readers
 from lychnos.sources.tables import shared_folder, table
 from lychnos.streaming.messages import message_log
 
@@ -427,12 +428,13 @@ def agent_route(spark, d):
     return agents.route_by_model(t, Rule(lambda m: f"steps for {_last(m)}"), Rule(choose)).select("record_id", "route")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'online' ELSE 'chat' END AS route, CASE WHEN page_id % 4 = 1 THEN 'online answer' ELSE 'chat answer' END AS reply FROM scraped_pages WHERE page_id % 4 <> 0")
+@query("SELECT page_id, CASE WHEN online THEN 'online' ELSE 'chat' END AS route, CASE WHEN online THEN 'online answer' ELSE 'chat answer' END AS reply FROM (SELECT page_id, page_id % 4 = 1 OR (page_id % 4 = 3 AND t.domain_name IS NOT NULL) AS online FROM scraped_pages LEFT JOIN trusted_sources t USING (site_key) WHERE page_id % 4 <> 0)")
 def agent_turns(spark, d):
-    """Chats: exits, explicit addresses that are found, others that are not, and plain talk."""
+    """Chats: exits, explicit addresses that are found, others that are not, names of trusted sources, and plain talk."""
     k = F.col("page_id") % 4
-    said = F.when(k == 0, F.lit(" EXIT ")).when(k == 1, F.col("url")).when(k == 2, F.lit("https://missing.example")).otherwise(F.lit("0"))
-    t = table(spark, d, "scraped_pages").select("page_id", said.alias("prompt"), F.col("url").alias("own"))
+    named = table(spark, d, "trusted_sources").select("site_key", "domain_name")
+    said = F.when(k == 0, F.lit(" EXIT ")).when(k == 1, F.col("url")).when(k == 2, F.lit("https://missing.example")).otherwise(F.coalesce("domain_name", F.lit("0")))
+    t = table(spark, d, "scraped_pages").join(named, "site_key", "left").select("page_id", said.alias("prompt"), F.col("url").alias("own"))
 
     def reply(messages):
         said = _last(messages)
@@ -445,7 +447,7 @@ def agent_turns(spark, d):
     def searcher(q):
         return q.select("page_id", F.lit(1).alias("rank"), F.col("search_query").alias("url"), F.lit("t").alias("title"), F.lit("d").alias("description"))
 
-    sources = table(spark, d, "trusted_sources").where("false").select(F.col("domain_name").alias("domain"), "urls")
+    sources = table(spark, d, "trusted_sources").select(F.col("domain_name").alias("domain"), "urls")
     return agents.answer_turns(t, sources, Rule(reply), searcher, lambda x: x.withColumn("page_text", F.lit("page")), "page_id")
 
 
@@ -515,6 +517,123 @@ def extract_raw(spark, d):
     return agents.pages_to_raw_records(pages, rule, keep=["page_id"]).select("page_id", "status", "result")
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query("SELECT doc_id, replace(text, chr(10) || chr(10), '') AS text FROM documents WHERE text IS NOT NULL")
+def source_pdf_text(spark, d):
+    """The pages of files, joined without separator; here a file is a text and its pages its paragraphs."""
+    files = _docs(spark, d).select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    read = readers.pdf_text(files.withColumn("path", F.col("path").cast("string")), lambda raw: raw.decode().split("\n\n"))
+    return read.select(F.col("path").cast("bigint").alias("doc_id"), "text")
+
+
+@query("SELECT page_id, CASE WHEN lang = 'de' THEN url || '/a.pdf!' WHEN contains(url, '7') THEN NULL ELSE 'text of ' || url END AS page_text, CASE WHEN contains(url, '7') AND lang IS DISTINCT FROM 'de' THEN 'no text' END AS read_error FROM scraped_pages")
+def source_links(spark, d):
+    """Addresses through the site reader or, for PDF files, the fetcher; a reader without text fails after its retries."""
+    t = table(spark, d, "scraped_pages").select("page_id", F.when(F.col("lang") == "de", F.concat("url", F.lit("/a.pdf"))).otherwise(F.col("url")).alias("url"))
+    read = readers.read_links(t, lambda url: " " if "7" in url else f"text of {url}", str.encode, lambda raw: [raw.decode(), "!"], retries=1, backoff=0.0)
+    return read.select("page_id", "page_text", "read_error")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '9') THEN NULL WHEN contains(url, '7') THEN 'shown' ELSE 'plain' END || url AS page_text, CASE WHEN contains(url, '9') THEN NULL WHEN contains(url, '7') THEN 'browser' ELSE 'plain' END AS read_by FROM scraped_pages")
+def source_hybrid(spark, d):
+    """Plain pages as fetched, pages that want scripts through the browser; some are read by neither."""
+
+    def fetch(url):
+        if "9" in url:
+            raise OSError("gone")
+        return "<html><body><noscript>Please enable scripts</noscript></body></html>" if "7" in url else f"<html><body><p>plain</p> {url}</body></html>"
+
+    def browse(url):
+        return None if "9" in url else f"<html><body><p>shown</p>{url}</body></html>"
+
+    t = table(spark, d, "scraped_pages").select("page_id", "url")
+    return readers.read_hybrid(t, fetch, browse).select("page_id", "page_text", F.col("by").alias("read_by"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '7') THEN NULL ELSE 'Title of ' || url END AS title, CASE WHEN contains(url, '7') THEN NULL ELSE 'No description found' END AS description FROM scraped_pages")
+def search_info(spark, d):
+    """Hits with the title and description of their page; null where it could not be read."""
+
+    def fetch(url):
+        if "7" in url:
+            raise OSError("gone")
+        return f"<html><head><title>Title of {url}</title></head><body>b</body></html>"
+
+    return readers.hits_with_info(table(spark, d, "scraped_pages").select("page_id", "url"), fetch).select("page_id", "info.title", "info.description")
+
+
+@query("SELECT site_key AS domain, u AS url FROM (SELECT site_key, unnest(urls) AS u FROM trusted_sources WHERE site_key IS NOT NULL)")
+def sources_loaded(spark, d):
+    """The registry of trusted sources through its file; the table is fixed and small."""
+    import os
+    import tempfile
+
+    rows = table(spark, d, "trusted_sources").where("site_key is not null").select("site_key", "urls").collect()
+    with tempfile.TemporaryDirectory() as folder:  # read by the driver alone
+        path = os.path.join(folder, "sources.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({r["site_key"]: r["urls"] or [] for r in rows}, f)
+        return readers.load_sources(spark, path).select("domain", F.explode("urls").alias("url"))
+
+
+def _job(spark: SparkSession, d: str) -> str:
+    """The extraction job over all addresses; the folder with its results."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    urls = table(spark, d, "scraped_pages").select("url").distinct()
+    agents.extraction_job(urls, lambda url: None if "7" in url else f"? up to 5 EUR at {url}" if "9" in url else f"{url}\nup to 5 EUR", Rule(_extraction_reply), at, retries=0)
+    return at
+
+
+@query("SELECT DISTINCT url, url AS programme_name, '100 EUR' AS total_budget FROM scraped_pages WHERE NOT contains(url, '7') AND NOT contains(url, '9')")
+def job_records(spark, d):
+    return spark.read.json(f"{_job(spark, d)}/records").select("url", "programme_name", "total_budget")
+
+
+@query("SELECT DISTINCT url, CASE WHEN contains(url, '7') THEN 'unread' ELSE 'shape' END AS status FROM scraped_pages WHERE contains(url, '7') OR contains(url, '9')")
+def job_rejected(spark, d):
+    """Dead letters: addresses without text, and replies that are no array of objects."""
+    return spark.read.json(f"{_job(spark, d)}/rejected").select("url", "status")
+
+
+@query("SELECT page_id, page_text, replace(replace(url, 'https://', ''), '/', '_') || '_scraped.txt' AS name FROM scraped_pages")
+def texts_written(spark, d):
+    import uuid
+
+    at = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    readers.write_text(table(spark, d, "scraped_pages").select("page_id", "url", "page_text"), at)
+    return spark.read.parquet(at).select("page_id", "page_text", F.regexp_replace("artifact_name", r"^\d{8}T\d{6}Z_", "").alias("name"))
+
+
+@query("SELECT record_id AS conv_id, 'read' || length(coalesce(description, '')) || 'characters' AS text FROM ideal_anav")
+def stage_pieces(spark, d):
+    """A stage whose backend streams: its pieces, put together again."""
+    t = table(spark, d, "ideal_anav").select(F.col("record_id").alias("conv_id"), F.lit(0).alias("turn"), chat.prompt_list(F.lit("s"), F.coalesce("description", F.lit(""))).alias("messages"))
+    pieces = model_stage.streamed(t, "messages", Rule(lambda m: f"read {len(_last(m))} characters"))
+    return chat.rebuild_messages(pieces.where("chunk is not null"), ("conv_id",))
+
+
+@query("SELECT record_id, CASE WHEN contains(coalesce(programme_name, ''), '7') THEN 'internet' ELSE 'no_internet' END AS route, CASE WHEN contains(coalesce(programme_name, ''), '7') THEN 'online answer' ELSE 'chat answer' END AS reply FROM ideal_anav")
+def agent_by_route(spark, d):
+    """A model chooses who answers."""
+
+    def reply(messages):
+        said = _last(messages)
+        if messages[0]["content"].startswith("Turn the question"):
+            return json.dumps({"search_query": said})
+        if "Found pages as JSON:" in said:
+            return json.dumps({"url": "https://found.example"})
+        return "online answer" if said.startswith("From what was found online") else "chat answer"
+
+    t = table(spark, d, "ideal_anav").select("record_id", F.coalesce("programme_name", F.lit("")).alias("prompt"))
+    hits = lambda q: q.select("record_id", F.lit(1).alias("rank"), F.lit("https://found.example").alias("url"), F.lit("t").alias("title"), F.lit("d").alias("description"))
+    choose = Rule(lambda m: json.dumps({"function": "internet" if "7" in _last(m) else "no_internet", "parameters": {}}))
+    return agents.answer_by_route(t, Rule(lambda m: f"steps for {_last(m)}"), choose, Rule(reply), hits, lambda x: x.withColumn("page_text", F.lit("page")), "record_id")
+
+
 # ---------------------------------------------------------------- streaming
 
 

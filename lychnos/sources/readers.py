@@ -1,7 +1,7 @@
 """Inputs: PDF files, web pages, the registry of trusted sources, templates; and sinks for results.
 
-Whatever needs the network or a foreign library is a callable that the caller injects; it is built
-once per partition and errors stay with their row.
+Whatever needs the network or a foreign library is a callable that the caller may inject, and errors
+stay with their row. For plain fetching there are defaults on the standard library.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import json
 import logging
 import os
 import time
+import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lychnos.functions.html import body_text, needs_scripts, page_info
 from lychnos.functions.schema import ARRAY_FIELDS, EXTRACTION_FIELDS
 from lychnos.functions.text import artifact_name, is_pdf_url
+from lychnos.sources.tables import shared_checkpoint
 
 log = logging.getLogger("lychnos")
 
@@ -26,6 +29,69 @@ PageExtractor = Callable[[bytes], list[str]]
 SiteReader = Callable[[str], str | None]
 Fetcher = Callable[[str], bytes]
 Searcher = Callable[[DataFrame], DataFrame]
+PageFetcher = Callable[[str], str | None]
+
+AGENT = "Mozilla/5.0 (compatible; page reader)"
+
+
+def fetch_bytes(url: str, timeout: float = 20.0) -> bytes:
+    """The default fetcher of files such as PDFs."""
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as r:
+        return r.read()
+
+
+def fetch_html(url: str, timeout: float = 5.0) -> str:
+    """The default fetcher of pages, read in the encoding that the server names."""
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as r:
+        return r.read().decode(r.headers.get_content_charset() or "utf-8", errors="replace")
+
+
+def fetched(urls: DataFrame, fetch: PageFetcher = fetch_html, url_col: str = "url", out: str = "html") -> DataFrame:
+    """``urls`` with ``out`` and ``<out>_error``; null addresses are not fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got, errors = [], []
+            for url in b.column(b.schema.get_field_index(url_col)).to_pylist():
+                page = error = None
+                if url:
+                    try:
+                        page = fetch(url)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                got.append(page)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, out, f"{out}_error"])
+
+    return urls.mapInArrow(run, StructType([*urls.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())]))
+
+
+def read_hybrid(urls: DataFrame, fetch: PageFetcher = fetch_html, browse: PageFetcher | None = None, url_col: str = "url") -> DataFrame:
+    """``urls`` with ``page_text``, ``by`` (``plain``, ``browser`` or null) and ``read_error``.
+
+    Pages are fetched plainly; those that want scripts, or have no text, or could not be fetched go
+    on to ``browse``, which gives rendered HTML. Detection and text are native; a page that both fail
+    to read has a null text and the last error.
+    """
+    first = shared_checkpoint(fetched(urls, fetch, url_col))  # each address is fetched once
+    wants = F.coalesce(needs_scripts(F.col("html")), F.lit(True))
+    plain = first.where(~wants).select(*urls.columns, body_text(F.col("html")).alias("page_text"), F.lit("plain").alias("by"), F.col("html_error").alias("read_error"))
+    rest = first.where(wants)
+    if browse is None:
+        text = F.when(F.col("html").isNotNull(), body_text(F.col("html")))
+        other = rest.select(*urls.columns, text.alias("page_text"), F.when(text.isNotNull(), F.lit("plain")).alias("by"), F.col("html_error").alias("read_error"))
+    else:
+        shown = fetched(rest.select(*urls.columns), browse, url_col)
+        text = body_text(F.col("html"))
+        other = shown.select(*urls.columns, text.alias("page_text"), F.when(text.isNotNull(), F.lit("browser")).alias("by"), F.col("html_error").alias("read_error"))
+    return plain.unionByName(other)
+
+
+def hits_with_info(hits: DataFrame, fetch: PageFetcher = fetch_html, url_col: str = "url") -> DataFrame:
+    """Search hits with ``info``, the title and description of their page; null where it could not be read. Each address is fetched once, however many hits have it."""
+    pages = fetched(hits.select(F.col(url_col).alias("url__")).where("url__ is not null").distinct(), fetch, "url__")
+    info = pages.select("url__", page_info(F.col("url__"), F.col("html")).alias("info"))
+    return hits.join(info, F.col(url_col) == F.col("url__"), "left").drop("url__")
 
 
 def read_pdfs(spark: SparkSession, path: str, extract: PageExtractor) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lychnos.functions.signature import describe, schema_text
 from lychnos.operators import chat, fuzzy
 from lychnos.operators.extraction import as_list, as_text
-from lychnos.operators.model_stage import HttpChat, Rule, Scripted, collected, require_backend, with_model
+from lychnos.operators.model_stage import HttpChat, Rule, Scripted, collected, require_backend, streamed, with_model
 from lychnos.plans import agents
 from lychnos.plans.prompts import PROMPTS, Role
 from lychnos.sources.readers import load_sources, load_template, pdf_text, read_links, write_results
@@ -198,3 +198,78 @@ def test_search_counts_every_word(spark, monkeypatch):
         1: {1: ("u05", "Κύκλος 64 «W»"), 2: ("u90", ", Κύκλος 65 «W»")},
         3: {1: ("u39", "Scheme 39"), 2: ("u00", "Scheme 0")},
     }
+
+
+class Counting:
+    """A backend whose replies differ from one asking to the next; each asking leaves a line."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def ask(self, messages, format="", temperature=0.8, stream=False, **options):
+        import random
+
+        with open(self.path, "a") as f:
+            f.write("x\n")
+        said = messages[-1]["content"]
+        if messages[0]["content"].startswith("Turn the question"):
+            return json.dumps({"search_query": f"{said} {random.random()}"})
+        if "Found pages as JSON:" in said:
+            return json.dumps({"url": "https://a.example"})
+        return json.dumps([{"programme_name": "x"}]) if random.random() < 0.5 else "no json"
+
+    def count(self):
+        with open(self.path) as f:
+            return len(f.readlines())
+
+
+def test_each_page_is_asked_once_and_has_one_outcome(spark, tmp_path):
+    backend = Counting(str(tmp_path / "asked"))
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.lit("some text").alias("page_text")).repartition(4)
+    ok, bad = agents.pages_to_records(pages, backend, keep=["page_id"])
+    good, rejected = {r.page_id for r in ok.collect()}, {r.page_id for r in bad.collect()}
+    assert not good & rejected and len(good | rejected) == 400 and good and rejected
+    assert backend.count() == 400
+
+
+def test_each_search_step_is_asked_once(spark, tmp_path):
+    backend = Counting(str(tmp_path / "asked"))
+    df = spark.range(50).select(F.col("id").alias("prompt_id"), F.concat(F.lit("question "), "id").alias("prompt"))
+    seen = []
+
+    def searcher(q):
+        seen.extend(q.collect())
+        return q.select("prompt_id", F.lit(1).alias("rank"), F.lit("https://a.example").alias("url"), F.col("search_query").alias("title"), F.lit("d").alias("description"))
+
+    got = agents.search_online(df, backend, searcher, lambda x: x.withColumn("page_text", F.lit("page"))).collect()
+    assert backend.count() == 150 and len(got) == 50
+    assert {(r.prompt_id, r.search_query) for r in got} == {(r.prompt_id, r.search_query) for r in seen}
+
+
+def test_turns_are_asked_once(spark, tmp_path):
+    backend = Counting(str(tmp_path / "asked"))
+    df = spark.createDataFrame([(i, f"https://a.example/{i}") for i in range(20)] + [(100, "hello")], "prompt_id bigint, prompt string")
+    sources = spark.createDataFrame([], "domain string, urls array<string>")
+    hits = lambda q: q.select("prompt_id", F.lit(1).alias("rank"), F.lit("https://a.example").alias("url"), F.lit("t").alias("title"), F.lit("d").alias("description"))
+    got = agents.answer_turns(df, sources, backend, hits, lambda x: x.withColumn("page_text", F.lit("page"))).collect()
+    assert len(got) == 21 and backend.count() == 61
+
+
+def test_streamed_replies_that_fail_are_never_done(spark):
+    class Breaks:
+        def ask(self, messages, format="", temperature=0.8, stream=False, **options):
+            yield "a"
+            if messages[-1]["content"] == "bad":
+                raise RuntimeError("cut")
+            yield "b"
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "conv_id bigint, said string")
+    t = df.select("conv_id", F.lit(0).alias("turn"), F.when(F.col("said").isNotNull(), chat.prompt_list(F.lit("s"), F.col("said"))).alias("m"))
+    got = sorted((r.conv_id, r.seq, r.chunk, r.done) for r in streamed(t, "m", Breaks()).collect())
+    assert got == [(1, 0, "a", False), (1, 1, "b", True), (2, 0, "a", False)]
+
+
+def test_list_coercion_of_odd_values():
+    assert as_list([None, " x ", {"value": "v"}, {"q": 1, "r": "z"}, 3]) == ["x", "v", "1, z", "3"]
+    assert as_list("a, ,b") == ["a", "b"] and as_list(None) == [] and as_list(0) == ["0"] and as_list({"a": 1}) == ["{'a': 1}"]
+    assert as_list([{"text": " ", "name": "n"}, {"text": "", "x": None}, [1], True]) == ["n", "[1]", "True"]

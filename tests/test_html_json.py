@@ -45,13 +45,13 @@ def test_balanced_object(spark):
     cases = {"x {a:{b}} y {c}": "{a:{b}}", "} {a}": "", "none": "", "{open": "", "": ""}
     for text, want in cases.items():
         assert one(spark, text, J.balanced_object) == want
-        assert J._balanced(text) == want
+        assert J.first_object(text) == want
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="{}ab", max_size=30))
 def test_balanced_is_balanced(text):
-    got = J._balanced(text)
+    got = J.first_object(text)
     assert got in text and got.count("{") == got.count("}")
 
 
