@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +25,12 @@ _K = {k: i for i, k in enumerate(KINDS)}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[©»«|·>←→…\[\]@@:]|://")
 DIGITS = re.compile(r"0x[0-9a-f]+|\b(?=[a-f]*\d)[0-9a-f]{6,}\b|\d+")
 _NAMES = frozenset({"w", "v", "wweg"})
-#: Lines up to this length are remembered, since furniture repeats; the judgement is the same for all.
-_REMEMBERED = 160
+_ANY_DIGIT = re.compile(r"\d").search
+
+
+def mask_digits(text: str) -> str:
+    """Numbers and hexadecimal codes as ``9``."""
+    return DIGITS.sub("9", text) if _ANY_DIGIT(text) else text
 
 
 def _line_tokens(line: str) -> list[str]:
@@ -70,49 +75,63 @@ _PER_FURTHER = np.zeros(len(KINDS))
 _PER_FURTHER[[_K[k] for k in ("footer", "title", "item", "trail", "advert")]] = 0.8
 
 
-def _line_kind(line: str) -> tuple[int, float]:
-    """Most likely kind and link density of a stripped line whose digits are masked."""
-    vocab, ratios = _line_model()
-    toks = _line_tokens(line)
-    rows = [r for t in toks if (r := vocab.get(t)) is not None]
-    unknown = len(toks) - len(rows)
-    score = ratios[rows].sum(axis=0) - unknown * _PER_UNKNOWN - max(0, unknown - 3) * _PER_FURTHER
-    score[_SENT] += 1.5
-    p = np.exp(score - score.max())
-    return int(score.argmax()), round(float(p[_LINKS].sum() / p.sum()), 3)
+_records: dict[str, tuple[int, int, float, bool]] = {}
 
 
-_records: dict[str, tuple[int, int, float, bool]] = {}
+def learn_lines(lines: Iterable[str]) -> None:
+    """Judge stripped lines that are not known yet, all in one matrix sum; ``line_record`` then finds them."""
+    if len(_records) > 200_000:
+        _records.clear()
+    vocab, ratios = _line_model()
+    known = vocab.get
+    open_: list[tuple[str, list[str], bool]] = []
+    rows: list[int] = []
+    sizes: list[int] = []
+    unknown: list[int] = []
+    for line in dict.fromkeys(lines):
+        if line in _records:
+            continue
+        written = line.split()
+        if _CRUMB.match(line) and " " in line:
+            _records[line] = (_TRAIL, len(written), 1.0, line.endswith("…"))
+            continue
+        bullet = line[0] in "-–•*·" and line[1:2] == " "
+        text = line[2:].lstrip() if bullet else line
+        toks = _line_tokens(mask_digits(text))
+        found = [r for t in toks if (r := known(t)) is not None]
+        open_.append((line, written, bullet))
+        rows += found
+        rows.append(0)  # no sum is empty; taken off again
+        sizes.append(len(found) + 1)
+        unknown.append(len(toks) - len(found))
+    if not open_:
+        return
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    strange = np.array(unknown, float)[:, None]
+    score = np.add.reduceat(ratios[rows], starts) - ratios[0] - strange * _PER_UNKNOWN - np.maximum(0.0, strange - 3) * _PER_FURTHER
+    score[:, _SENT] += 1.5
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    links = np.round(p[:, _LINKS].sum(axis=1) / p.sum(axis=1), 3).tolist()
+    common = _common_words()
+    for (line, written, bullet), kind, link in zip(open_, score.argmax(axis=1).tolist(), links, strict=True):
+        n, cut = len(written), line.endswith("…")
+        if n > 5 and not cut and kind not in _FURN and kind not in _RESI and not _ANY_DIGIT(line) and sum(w in common for w in line.lower().split()) < 0.1 * n and sum(w[0].isupper() for w in written) < 0.3 * n:
+            _records[line] = (_FILL, n, 1.0, False)  # running text without a common word
+        elif bullet and kind != _SENT:
+            _records[line] = (_ITEM, n, 0.0, cut)
+        else:
+            _records[line] = (kind, n, link, cut)
 
 
 def line_record(line: str) -> tuple[int, int, float, bool]:
     """``(kind, words, link density, cut off)`` of a stripped line."""
     got = _records.get(line)
     if got is None:
-        got = _line_record(line)
-        if len(line) <= _REMEMBERED:
-            if len(_records) > 200_000:
-                _records.clear()
-            _records[line] = got
+        learn_lines([line])
+        got = _records[line]
     return got
 
 
-def _line_record(line: str) -> tuple[int, int, float, bool]:
-    written = line.split()
-    n, cut = len(written), line.endswith("…")
-    if _CRUMB.match(line) and " " in line:
-        return _TRAIL, n, 1.0, cut
-    bullet = line[0] in "-–•*·" and line[1:2] == " "
-    kind, link = _line_kind(DIGITS.sub("9", line[2:].lstrip() if bullet else line))
-    if n > 5 and not cut and kind not in _FURN and kind not in _RESI and not DIGITS.search(line):
-        common = _common_words()
-        if sum(w in common for w in line.lower().split()) < 0.1 * n and sum(w[0].isupper() for w in written) < 0.3 * n:
-            return _FILL, n, 1.0, False  # running text without a common word
-    if bullet and kind != _SENT:
-        return _ITEM, n, 0.0, cut
-    return kind, n, link, cut
-
-
 # ---------------------------------------------------------------- block features
 
 FEATURES = ("words", "link", "prev_words", "prev_link", "next_words", "next_link")
@@ -136,7 +155,8 @@ def _window_title(lines: list[str]) -> tuple[int, str]:
 
 def block_features(lines: list[str]) -> tuple[list[tuple], list[int]]:
     """The features of each non-blank stripped line, and its kind."""
-    info = list(map(line_record, lines))
+    learn_lines(lines)
+    info = [_records[x] for x in lines]
     n = len(lines)
     window, own = _window_title(lines)
     inside = [False] * n

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lychnos.llm.blocks import block_tree, body_lines, held_out_sites, tree_text
-from lychnos.llm.residue import Judge, broadcast_model
+from lychnos.llm.blocks import block_tree, body_lines, held_out_sites, learn_lines, tree_text
+from lychnos.llm.residue import CHUNK, Judge, broadcast_model
 from lychnos.sources.tables import spread_if_few
 
 
@@ -25,8 +25,14 @@ def main_body(pages: DataFrame, id_col: str = "page_id", text_col: str = "page_t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model.value)
         for b in batches:
-            got = [body_lines(t) if t and t.strip() and not judge(t)[1] else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=[id_col, "lines"])
+            for lo in range(0, b.num_rows, CHUNK):
+                part = b.slice(lo, CHUNK)
+                texts = part.column(1).to_pylist()
+                said = judge(texts)
+                real = [x is not None and not x[1] for x in said]
+                learn_lines(x for t, r in zip(texts, real, strict=True) if r for p in t.split("\n") if (x := p.strip()))
+                got = [body_lines(t) if r else [] for t, r in zip(texts, real, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], names=[id_col, "lines"])
 
     kind = dict(pages.dtypes)[id_col]
     found = spread_if_few(pages.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, lines array<int>")

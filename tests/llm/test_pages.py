@@ -5,7 +5,7 @@ import numpy as np
 from lychnos.llm import residue as residue_module
 from lychnos.llm.blocks import block_tree, body_lines, fit_tree, held_out_sites, labelled_pages, line_record
 from lychnos.llm.pages import main_body
-from lychnos.llm.residue import Sample, choose_threshold, exact_check, fit_model, page_features, placeholders, residue_pages, score_of, validation, weak_label
+from lychnos.llm.residue import Sample, choose_threshold, exact_check, fit_model, page_features, placeholders, residue_pages, scores_of, validation, weak_label
 
 REAL = "\n".join([
     "Πρόγραμμα Ορνελία | Περιφερειακό Ταμείο Τόρνη", "Αρχική | Δράσεις | Νέα | Έντυπα", "", "Πρόγραμμα Ορνελία", "Τι χρηματοδοτείται",
@@ -100,8 +100,8 @@ def test_long_lines():
 
 
 def sample(i, text, label):
-    g, f = page_features(text)
-    return Sample(label, i % 10, i % 10, sorted(g), sorted(f))
+    _, grams, _, flags = page_features([text])
+    return Sample(label, i % 10, i % 10, grams, flags)
 
 
 def invented(n):
@@ -113,7 +113,7 @@ def test_the_classifier_decides_what_no_pattern_knows():
     """A placeholder form that no pattern has is learned from labels; without the classifier the pages are lost."""
     rows = invented(400)
     m = fit_model([sample(*r) for r in rows], (1.0, 1.0))
-    said = [score_of(m.weights, m.bias, *page_features(t)) > m.threshold for _, t, _ in invented(460)[400:]]
+    said = (scores_of(m.weights, m.bias, [t for _, t, _ in invented(460)[400:]]) > m.threshold).tolist()
     assert said == [bool(y) for _, _, y in invented(460)[400:]]
     assert not any(exact_check(t) for _, t, _ in rows)
 
@@ -121,7 +121,7 @@ def test_the_classifier_decides_what_no_pattern_knows():
 def test_threshold():
     z, y = np.array([-3.0, -1.0, 0.5, 2.0, 4.0]), np.array([0, 0, 1, 0, 1])
     threshold, margin = choose_threshold(z, y, np.ones(5))
-    assert -1.0 < threshold < 0.5 and margin >= residue_module.SAFETY * (2.0 - threshold) - 1e-9
+    assert -1.0 < threshold < 0.5 and margin > 2.0 - threshold
     assert not fit_model([sample(i, "plain words here", 0) for i in range(30)], (1.0, 1.0)).fitted
 
 
