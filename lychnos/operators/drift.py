@@ -46,7 +46,9 @@ _COMMA = re.compile(r",\s+(?![^()]*\))")
 #: Between the items of a list written as one text; not in brackets.
 _BETWEEN = r";\s+(?![^()]*\))|\s+\|\s+"
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_NUM = re.compile(r"\d+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d.*|\d{1,2}[./]\d{1,2}[./]\d{4}")
+_PHONE = re.compile(r"[^\d]{0,12}\d{2,4}([ -]\d{2,4}){2,}")
 
 
 def _leaves(v) -> list[str]:
@@ -85,23 +87,24 @@ def _parse(raw: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def _text_features(t: str) -> frozenset[str]:
+def _text_features(t: str) -> frozenset:
     """What a single text looks like: contacts, dates, shape, words, sizes of numbers, signs."""
-    if re.fullmatch(r"\d{4}-\d\d-\d\d.*|\d{1,2}[./]\d{1,2}[./]\d{4}", t):
+    if _DATE.fullmatch(t):
         return frozenset({"#date"})
     if t in ("true", "false"):
         return frozenset({"#bool"})
-    out = {"#shape" + _shape_of(t)}
+    masked = _DIGITS.sub("9", _LETTERS.sub("a", t)).split()
+    out = set(zip(["^", *masked], [*masked, "$"], strict=True))  # shape: neighbouring masked words, so that long texts have no shape of their own
     mail, url = "@" in t, "://" in t
     if mail:
         out.add("#mail")
     if url:
         out.add("#url")
-    if t.startswith("+") or re.fullmatch(r"[^\d]{0,12}\d{2,4}([ -]\d{2,4}){2,}", t):
+    if t.startswith("+") or _PHONE.fullmatch(t):
         out.add("#phone")
     if not mail and not url:
         out.update(w.casefold() for w in _WORD.findall(t))
-        out.update(f"#n{len(n)}" for n in _NUM.findall(t))
+        out.update(f"#n{len(n)}" for n in _DIGITS.findall(t))
         out.update(f"#{c}" for c in ("€", "%", "/", ".") if c in t)
         out.add(f"#words{min(6, len(t.split()))}")
     return frozenset(out)
@@ -110,16 +113,11 @@ def _text_features(t: str) -> frozenset[str]:
 _remembered = lru_cache(maxsize=100_000)(_text_features)
 
 
-def _features(texts: list[str]) -> set[str]:
+def _features(texts: list[str]) -> set:
     """The features of all texts of a value; short texts repeat, so theirs are kept."""
     return set().union(*(_remembered(t) if len(t) <= 200 else _text_features(t) for t in texts))
 
 
-def _shape_of(text: str) -> str:
-    """Letters and digits masked and runs collapsed, so that shapes stay short whatever the length."""
-    return re.sub(r"(.{1,3}?)\1+", r"\1", re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", text)))
-
-
 def line_counts(files: DataFrame) -> DataFrame:
     """One pass over the lines: ``(feed_id, file_id, exported_at, name, kind, n)`` rows, how many readable lines of a file have the name with that kind, and ``(name, feature, n)`` rows, how many values of the name have the feature.
 
@@ -138,7 +136,7 @@ def line_counts(files: DataFrame) -> DataFrame:
                 for name, v in (_parse(raw) or {}).items():
                     seen[(*key, name, _kind(v))] += 1
                     features.update((name, f) for f in _features(_leaves(v)))
-            rows = [(*k, None, n) for k, n in seen.items()] + [(None, None, None, name, None, f, n) for (name, f), n in features.items()]
+            rows = [(*k, None, n) for k, n in seen.items()] + [(None, None, None, name, None, f if isinstance(f, str) else "#shape " + " ".join(f), n) for (name, f), n in features.items()]
             types = [*(b.schema.field(i).type for i in range(3)), pa.string(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*whole, "name", "kind", "feature", "n"])
 

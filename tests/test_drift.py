@@ -111,7 +111,7 @@ def test_like_fields_renamed_in_one_step(spark):
     two = [rec(from_sum=a, to_sum=a) for a in sums]
     assert changes(files(spark, [one, two])) == [(2, "renamed", "least", "from_sum"), (2, "renamed", "most", "to_sum")]
     assert "#n5" in _features(["1 2 3 4 5 6 7 8 10000"])
-    assert any(f.startswith("#shape") and "€" in f for f in _features(["up to " + "many " * 40 + "5 €"]))  # long values have a shape too
+    assert ("9", "€") in _features(["up to " + "many " * 400 + "5 €"])  # long values have a shape too
 
 
 def test_seams_beyond_the_broadcast_limit(spark, monkeypatch):
