@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 
 from lychnos.sources.tables import broadcast_if_small, fits_broadcast, shared_checkpoint
 
-_URL = r"https?://[^\s;,|\"«»<>()\[\]{}•']+"
+#: Blanks within a line: all of Unicode's space separators.
+_SPACE = " \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_SPACES = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+_URL = rf"https?://[^\s{_SPACE};,|\"«»<>()\[\]{{}}•']+"
 _MAIL = r"[\p{L}\p{N}_.%+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 _PHONE = r"\+\d{1,3}(?: \d{2,4}){2,4}|\d{3}-\d{3}-\d{4}"
 _MARK = r"(?<![^\s;,|•'\"«])(?:\d{1,3}|\p{L})\)(?=\s)|(?<![^\s;,|•])\d{1,2}\.(?=\s)"
-_ORD = r"(?:\([^()\n]*\)|\d+,\d+|(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])|[^\s\u00a0;,|•·'\"«»“”„(){}\[\]])++"
-_BULLET = r"(?![-–•·*/](?:[ \u00a0]|$))"
+_ORD = rf"(?:\([^()\n]*\)|\d+,\d+|(?<=[\p{{L}}\p{{N}}])'(?=[\p{{L}}\p{{N}}])|[^\s{_SPACE};,|•·'\"«»“”„(){{}}\[\]])++"
+_BULLET = rf"(?![-–•·*/](?:[{_SPACE}]|$))"
 _STOP = rf"(?!(?:\p{{L}}[\p{{L}}.]{{1,14}}[:.] ?)?(?:{_URL}|{_MAIL}|{_PHONE})|{_URL}|{_MAIL}|{_PHONE}|{_MARK})"
 _LABEL = r"\p{L}[\p{L}.]{1,14}[:.] ?"
-TOKEN = rf"{_LABEL}(?:{_URL}|{_MAIL}|{_PHONE})|{_URL}|{_MAIL}|{_PHONE}|{_MARK}|{_BULLET}{_ORD}(?: {_STOP}{_BULLET}{_ORD})*+|[ \u00a0]+|(?s:.)"
+TOKEN = rf"{_LABEL}(?:{_URL}|{_MAIL}|{_PHONE})|{_URL}|{_MAIL}|{_PHONE}|{_MARK}|{_BULLET}{_ORD}(?: {_STOP}{_BULLET}{_ORD})*+|[{_SPACE}]+|(?s:.)"
 
 _SPECIAL = ";|,\n\t\r•·*/-–\"'«»“”„()[]{}"
 _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", '"': '"'}
@@ -58,7 +61,7 @@ def mask(token: Column) -> Column:
     )
     return (
         F.when((F.length(token) == 1) & (F.instr(F.lit(_SPECIAL), token) > 0), token)
-        .when(first.isin(" ", "\u00a0"), F.lit(" "))
+        .when(F.instr(F.lit(_SPACES), first) > 0, F.lit(" "))
         .otherwise(word)
     )
 
@@ -224,7 +227,7 @@ def split_packed(df: DataFrame, id_col: str, fields: list[str], version_col: str
 
     def pieces(rows: DataFrame) -> DataFrame:
         one = rows.select("rid", F.inline("packed")).select("rid", "field_name", F.posexplode("parts").alias("part", "text"))
-        one = one.where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\u00a0]"))
+        one = one.where(F.col("text").isNotNull() & F.col("text").rlike(rf"[^\s{_SPACE}]"))
         return one.select("rid", "field_name", "part", tokens(F.col("text")).alias("toks"))
 
     rules = shared_checkpoint(split_rules(pieces(base).select(skeleton(F.col("toks")).alias("skeleton"))))

@@ -32,6 +32,9 @@ CASES = {
     "same; same": ["same", "same"],
     "don't; l'eau": ["don't", "l'eau"],
     "|;,": [],
+    "a@b.example;https://e.f/g\u00a0": ["a@b.example", "https://e.f/g"],
+    "\u2009https://e.f\u202f; x\u00a0y\u3000": ["https://e.f", "x\u00a0y"],
+    "\u00a0\u2003": [],
 }
 
 
