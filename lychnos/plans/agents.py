@@ -150,7 +150,8 @@ BLOCK_PAGES, BLOCK_QUERIES = 512, 1024
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    """Distinct words in lower case; the Greek final sigma is a sigma."""
+    return F.array_distinct(F.filter(F.split(F.translate(F.lower(text), "ς", "σ"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def _packed(df: DataFrame, size: int) -> DataFrame:

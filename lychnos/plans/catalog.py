@@ -451,9 +451,23 @@ def agent_turns(spark, d):
     return agents.answer_turns(t, sources, Rule(reply), searcher, lambda x: x.withColumn("page_text", F.lit("page")), "page_id")
 
 
-@query()
+_LATEST_SQL = "SELECT url, arg_max(page_text, page_id) FILTER (page_text IS NOT NULL) AS page_text FROM scraped_pages WHERE url IS NOT NULL GROUP BY url"
+
+
+def _words_sql(e: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(replace(lower({e}), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(
+    f"WITH pages AS ({_LATEST_SQL}), asked AS (SELECT record_id AS prompt_id, programme_name AS prompt FROM ideal_anav WHERE record_id % 100 = 0 AND trim(programme_name) <> ''), "
+    f"words AS (SELECT url, {_words_sql('page_text')} AS w FROM pages), terms AS (SELECT *, {_words_sql('prompt')} AS t FROM asked), "
+    "hits AS (SELECT prompt_id, url, len(list_intersect(w, t)) AS n FROM words, terms), best AS (SELECT prompt_id, url FROM hits WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY n DESC, url) = 1) "
+    "SELECT prompt_id, prompt AS search_query, url, CASE WHEN url IS NOT NULL THEN 'answer of ' || CAST(length('From what was found online: ' || coalesce(nullif(left(page_text, 10000), ''), 'Website could not be read') || chr(10) || 'Answer the question: ' || prompt) AS VARCHAR) || ' characters' END AS reply "
+    "FROM asked LEFT JOIN best USING (prompt_id) LEFT JOIN pages USING (url)"
+)
 def agent_online_search(spark, d):
-    pages = table(spark, d, "scraped_pages").dropDuplicates(["url"])
+    latest = F.max_by("page_text", F.when(F.col("page_text").isNotNull(), F.col("page_id")))
+    pages = table(spark, d, "scraped_pages").where("url is not null").groupBy("url").agg(latest.alias("page_text"))
 
     def reply(messages):
         said = _last(messages)
