@@ -121,13 +121,31 @@ def count_tokens(df: DataFrame, text_col: str, keep: list[str], name: str = "byt
     return df.select(*keep, F.col(text_col).alias("text__")).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=8)
+def decoder(name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> Callable[[list[int]], str]:
+    """A function from ids to text: raw bytes read as UTF-8 for byte-level vocabularies, else as the library joins the pieces."""
+    tik = os.path.join(folder, f"{name}.tiktoken")
+    if os.path.exists(tik):
+        enc = _tiktoken(tik)
+        return lambda ids: enc.decode_bytes(ids).decode("utf-8", errors="replace")
+    js = os.path.join(folder, f"{name}.json")
+    if os.path.exists(js):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(js)
+        return lambda ids: tok.decode(ids, skip_special_tokens=False)
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, f"{name}.model")).decode
+
+
 def decode(df: DataFrame, id_col: str, ids_col: str = "ids", name: str = "byte_bpe_50k", folder: str = VOCABULARIES, out_col: str = "text") -> DataFrame:
     """``(id_col, out_col)``: the texts that the ids stand for, joined as raw bytes, then read as UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _tiktoken(os.path.join(folder, f"{name}.tiktoken"))
+        read = decoder(name, folder)
         for b in batches:
-            got = [enc.decode_bytes(ids or []).decode("utf-8", errors="replace") for ids in b.column(1).to_pylist()]
+            got = [read(ids) if ids else "" for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=[id_col, out_col])
 
     kind = dict(df.dtypes)[id_col]

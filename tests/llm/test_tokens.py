@@ -49,6 +49,12 @@ def test_other_vocabularies(spark, name):
     assert got[0] == [] and got[1] == [] and got[3]
 
 
+def test_decoding_by_every_kind_of_file(spark):
+    for name in ("byte_bpe_multi_50k", "piece_bpe_32k"):
+        ids = encode(spark.createDataFrame([(1, "Hello world's 3rd text"), (2, None)], "doc_id bigint, text string"), "doc_id", "text", name)
+        assert {r.doc_id: r.text.strip() for r in decode(ids, "doc_id", name=name).collect()} == {1: "Hello world's 3rd text", 2: ""}
+
+
 def test_counts(spark):
     rows = {r.doc_id: r.n_tokens for r in tokens.count_tokens(frame(spark), "text", ["doc_id"]).collect()}
     assert rows[0] == 0 and rows[3] == len(encoder()([TEXTS[3]])[0])
