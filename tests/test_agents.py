@@ -273,3 +273,17 @@ def test_list_coercion_of_odd_values():
     assert as_list([None, " x ", {"value": "v"}, {"q": 1, "r": "z"}, 3]) == ["x", "v", "1, z", "3"]
     assert as_list("a, ,b") == ["a", "b"] and as_list(None) == [] and as_list(0) == ["0"] and as_list({"a": 1}) == ["{'a': 1}"]
     assert as_list([{"text": " ", "name": "n"}, {"text": "", "x": None}, [1], True]) == ["n", "[1]", "True"]
+
+
+def test_fuzzy_bounds_lose_no_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeΑβγς.😀 ") for _ in range(rng.randrange(0, 14)))
+    prompts, keys = [word() for _ in range(80)] + ["", "same", "same"], sorted({word() for _ in range(40)} | {""})
+    df = spark.createDataFrame(list(enumerate(prompts)), "prompt_id bigint, prompt string")
+    sources = spark.createDataFrame([(k, ["u"]) for k in keys], "domain string, urls array<string>")
+    got = {(r.prompt_id, r.domain): r.ratio for r in fuzzy.match_sources(df, sources).collect()}
+    want = {(i, k): x for i, p in enumerate(prompts) for k in keys if (x := SequenceMatcher(None, p.lower(), k.lower()).ratio()) >= fuzzy.THRESHOLD}
+    assert got == want
