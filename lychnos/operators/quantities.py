@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lychnos.functions.text import once
 from lychnos.sources.tables import broadcast_if_small
 
 AMOUNT_FIELDS = ("minimum_funding_amount", "maximum_funding_amount", "total_budget")
@@ -213,17 +214,22 @@ def _read_batches(fields: list[tuple[str, bool, str]]):
     return run
 
 
-def note_column(columns: list[str], topics: str, parts: tuple[str, ...]) -> Column:
-    """The first digit-free sentence of ``columns`` that speaks of ``topics`` and names a unit, or an empty string.
+def _note(text: Column, low: Column, topics: str, parts: tuple[str, ...]) -> Column:
+    units = r"€|\b(?:EUR|USD|GBP|CHF|SEK|NOK|DKK|PLN|BGN)\b|(?:thousand|million|billion)s?\b|χιλιάδ|χιλ\.|εκατομμ|δισεκατομμ|euro|ευρώ|tausend|millionen|milliers?\b|\bmil\b|milhões"
+    sentence = rf"(?iu)(?:^|[.!?\n]|\d\S*)\s*([^.!?\n\d]*?(?:{topics})[^\d!?\n]*?(?:\.(?=\s|$)|$|(?=\n)))"
+    might = reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in parts))
+    stated = F.filter(F.regexp_extract_all(text, F.lit(sentence), F.lit(1)), lambda x: x.rlike(f"(?iu){units}"))
+    return F.when(might, F.coalesce(F.try_element_at(stated, F.lit(1)), F.lit(""))).otherwise(F.lit(""))
+
+
+def note_columns(columns: list[str], *notes: tuple[str, str, tuple[str, ...]]) -> Column:
+    """A struct of notes, each ``(name, topics, parts)``: the first digit-free sentence of ``columns`` that speaks of ``topics`` and names a unit, or an empty string.
 
     ``parts`` are pieces of the topic words in lower case; a text that holds none of them in any
-    case is not searched.
+    case is not searched. Text and lower case are made once for all notes.
     """
-    units = r"€|\b(?:EUR|USD|GBP|CHF|SEK|NOK|DKK|PLN|BGN)\b|(?:thousand|million|billion)s?\b|χιλιάδ|χιλ\.|εκατομμ|δισεκατομμ|euro|ευρώ|tausend|millionen|milliers?\b|\bmil\b|milhões"
     text = F.concat_ws("\n", *(F.col(f"`{c}`") for c in columns))
-    sentence = rf"(?iu)(?:^|(?<=[.!?\n:;]|\s))\s*((?=[^\d\n]*?(?:{units}))[^.!?\n\d]*?(?:{topics})[^\d!?\n]*?(?:\.(?=\s|$)|$|(?=\n)))"
-    might = F.exists(F.array(F.lower(text)), lambda t: reduce(Column.__or__, (F.contains(t, F.lit(p)) for p in parts)))  # lower case made once
-    return F.when(might, F.regexp_extract(text, sentence, 1)).otherwise(F.lit(""))
+    return once(text, lambda t: once(F.lower(t), lambda low: F.struct(*(_note(t, low, topics, parts).alias(name) for name, topics, parts in notes))))
 
 
 BUDGET_TOPIC, BUDGET_PARTS = r"budget|προϋπολογισμ", ("budget", "προϋπολογισμ")
@@ -241,11 +247,10 @@ def normalised_quantities(df: DataFrame, fx_rates: DataFrame, id_col: str = "rec
     rates = [f for f in RATE_FIELDS if f in df.columns]
     notes = [c for c in NOTE_COLUMNS if c in df.columns]
     has = reduce(Column.__or__, (F.coalesce(F.col(f).rlike(r"\d"), F.lit(False)) for f in amounts + rates), F.lit(False))
-    general = note_column(notes, ALL_TOPIC, ALL_PARTS) if notes else F.lit("")
-    budget = note_column(notes, BUDGET_TOPIC, BUDGET_PARTS) if notes else F.lit("")
+    both = note_columns(notes, ("all", ALL_TOPIC, ALL_PARTS), ("budget", BUDGET_TOPIC, BUDGET_PARTS))  # without columns both are empty
     version = F.coalesce(F.col(version_col).cast("timestamp"), F.lit("1900-01-01").cast("timestamp")) if version_col in df.columns else F.lit("1900-01-01").cast("timestamp")
-    rows = df.where(has).select(F.col(id_col).cast("bigint").alias("rid"), *amounts, *rates, general.alias("note_all"), budget.alias("note_budget"), version.alias("version"))
-    rows = rows.withColumn("note_budget", F.when(F.col("note_budget") != "", F.col("note_budget")).otherwise(F.col("note_all")))
+    rows = df.where(has).select(F.col(id_col).cast("bigint").alias("rid"), *amounts, *rates, both.alias("notes"), version.alias("version"))
+    rows = rows.withColumn("note_all", F.col("notes.all")).withColumn("note_budget", F.when(F.col("notes.budget") != "", F.col("notes.budget")).otherwise(F.col("notes.all"))).drop("notes")
     fields = [(f, False, "note_budget" if f == "total_budget" else "note_all") for f in amounts] + [(f, True, "") for f in rates]
     read = rows.mapInArrow(_read_batches(fields), "record_id bigint, field_name string, written string, unit string, version timestamp")
 

@@ -83,9 +83,9 @@ def test_repeats_and_empty(spark, fx):
 
 
 def test_notes_are_found_in_any_case(spark):
-    from lychnos.operators.quantities import ALL_PARTS, ALL_TOPIC, BUDGET_PARTS, BUDGET_TOPIC, note_column
+    from lychnos.operators.quantities import ALL_PARTS, ALL_TOPIC, BUDGET_PARTS, BUDGET_TOPIC, note_columns
 
     notes = ["FIGURES ARE IN THOUSAND EUR.", "Prices are in million EUR.", "PRICES IN EURO.", "ΧΡΗΜΑΤΙΚΈΣ ΤΙΜΈΣ ΣΕ ΧΙΛΙΆΔΕΣ ΕΥΡΏ.", "Τα ποσά σε ευρώ.", "SuMs in million EUR."]
     df = spark.createDataFrame([(n,) for n in [*notes, "BuDgEt in thousand EUR."]], "n string").coalesce(1)
-    assert [r[0] for r in df.select(note_column(["n"], ALL_TOPIC, ALL_PARTS)).collect()] == [*notes, ""]
-    assert df.select(note_column(["n"], BUDGET_TOPIC, BUDGET_PARTS).alias("b")).where("b <> ''").count() == 1
+    assert [r[0] for r in df.select(note_columns(["n"], ("a", ALL_TOPIC, ALL_PARTS))["a"]).collect()] == [*notes, ""]
+    assert df.select(note_columns(["n"], ("b", BUDGET_TOPIC, BUDGET_PARTS))["b"].alias("b")).where("b <> ''").count() == 1
