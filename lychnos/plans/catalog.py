@@ -260,6 +260,53 @@ def json_bare(spark, d):
     return table(spark, d, "events").where("props is not null").select("event_id", J.bare_json(said).alias("cut"))
 
 
+# Hand-made cases: input, balanced object, parsed JSON, bare JSON, code.
+_JSON_CASES = (
+    ("x {a:{b}} y {c}", "{a:{b}}", None, "{a:{b}} y {c}", None),
+    ("} {a}", "", None, "{a}", None),
+    ('{"a":1} trailing', '{"a":1}', '{"a": 1}', '{"a":1}', None),
+    ('{"a":1,"a":2}', '{"a":1,"a":2}', '{"a": 2}', '{"a":1,"a":2}', None),
+    ("no json", "", None, "no json", None),
+    ("", "", None, "", None),
+    ('Sure [1, {"k": "ü"}] ok', '{"k": "ü"}', '{"k": "ü"}', '[1, {"k": "ü"}]', None),
+    ("[1, 2]", "", "[1, 2]", "[1, 2]", None),
+    ("Here ```Python\nx = {1}\n``` and ```more```", "{1}", None, "{1}", "\nx = {1}\n"),
+    ('{"open": {"a": 1}', "", None, '{"open": {"a": 1}', None),
+    ("NaN", "", "NaN", "NaN", None),
+    ('{"b": "}"}', '{"b": "}', '{"b": "}"}', '{"b": "}"}', None),
+)
+_TEXT_CASES = (
+    ("", "", ""),
+    ("Hi?! Bye", "Hi?|!|Bye", "Hi?! Bye"),
+    ("Dr. Who left. Pi is 3.14.", "Dr. Who left.|Pi is 3.14.", "Dr. Who left. Pi is 3.14."),
+    ("Wait... what", "Wait...|what", "Wait... what"),
+    ("12/02/2025 to 31/02/2025", "12/02/2025 to 31/02/2025", "2025-02-12 to 31/02/2025"),
+    ("29/02/2024, 29/02/2023", "29/02/2024, 29/02/2023", "2024-02-29, 29/02/2023"),
+)
+
+
+def _literal(v: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _cases_sql(names: str, cases: tuple) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, c)) + ')' for c in cases)}) t({names})"
+
+
+@query(_cases_sql("said, balanced, parsed, bare, code", _JSON_CASES))
+def json_cases(spark, d):
+    """Replies of every odd shape: several objects, closers first, prose around, repeated keys, cut off."""
+    said = F.col("said")
+    t = spark.createDataFrame([(c[0],) for c in _JSON_CASES], "said string")
+    return t.select("said", J.balanced_object(said).alias("balanced"), J.safe_json(said).alias("parsed"), J.bare_json(said).alias("bare"), J.fenced_code(said).alias("code"))
+
+
+@query(_cases_sql("said, sentences, dates", _TEXT_CASES))
+def text_cases(spark, d):
+    t = spark.createDataFrame([(c[0],) for c in _TEXT_CASES], "said string")
+    return t.select("said", F.array_join(X.sentences(F.col("said")), "|").alias("sentences"), P.iso_dates(F.col("said")).alias("dates"))
+
+
 # ---------------------------------------------------------------- chats
 
 _TURNS_SQL = "SELECT url AS conv_id, page_id AS turn, CASE WHEN page_id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, coalesce(page_text, '') AS text FROM scraped_pages"
