@@ -143,3 +143,11 @@ def test_every_placeholder_passes_the_quick_look():
     ).replace("{{ b }}", "{{b}}").replace("<%= d %>", "<%=d%>").replace("[insert i]", "[insert|i]").split()
     for form in [*(f.replace("|", " ") for f in forms), f"<%{'a' * 60}%>", f"[insert {'ab ' * 30}]", f"«{'Betrag ' * 9}– noch auszufüllen»", f"<{'a' * 50}>"]:
         assert may_be_open(form) and placeholders(form), form
+
+
+def test_pages_without_a_host_column_and_with_clashing_names(spark):
+    rows = [(i, t, "x", None) for i, t in enumerate(RESIDUE * 4 + [REAL] * 8)]
+    df = spark.createDataFrame(rows, "page_id bigint, page_text string, label string, grams string")
+    assert {r.page_id for r in residue_pages(df).collect()} == set(range(len(RESIDUE) * 4))
+    nulls = df.withColumn("site_key", df["grams"])
+    assert {r.page_id for r in residue_pages(nulls).collect()} == set(range(len(RESIDUE) * 4))
