@@ -37,4 +37,52 @@ def p6_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p6_records, p6_alternatives)}
-ORACLES: dict[str, str] = {}
+#: Every value with its path from the JSON functions of SQL; names of word characters are not quoted.
+_ALTERNATIVES = r"""
+WITH lines AS (SELECT feed_id, file_id, exported_at, CASE WHEN json_valid(raw_json) THEN raw_json END AS j FROM record_files),
+nodes AS (SELECT l.feed_id, l.file_id, l.exported_at, regexp_replace(t.fullkey, '"([\p{L}\p{N}_]+)"', '\1', 'g') AS place, t.type, CASE WHEN t.type = 'ARRAY' THEN list_transform(json_extract(t.value, '$[*]'), lambda x: json_type(x)) END AS inner_types
+  FROM lines l, json_tree(l.j) t WHERE json_type(l.j) = 'OBJECT' AND t.fullkey <> '$'),
+kinds AS (SELECT feed_id, file_id, exported_at, regexp_extract(place, '^\$\.([^.\[]+)', 1) AS name, regexp_replace(regexp_replace(place, '^\$\.[^.\[]+', ''), '\[\d+\]', '[]', 'g') AS path,
+  CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'true/false' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL
+    WHEN 'ARRAY' THEN CASE WHEN len(inner_types) = 0 THEN NULL WHEN list_contains(inner_types, 'OBJECT') THEN 'list of objects' ELSE 'list of texts' END ELSE 'number' END AS kind FROM nodes)
+SELECT feed_id, name, path, kind, count(DISTINCT (file_id, exported_at)) AS n_files, min(exported_at) AS first_file_time FROM kinds WHERE kind IS NOT NULL GROUP BY ALL
+"""
+
+#: Signs of scales and currencies around a number, looked for in this order: a plain way beside the automaton, for the forms that the tables hold.
+_SCALE_SIGNS = ((9, "δισ|billion|bn"), (6, "εκ\\.|εκατ|million|mln|meur|(?:^|[^\\p{L}])m(?:[^\\p{L}]|$)"), (3, "χιλ|thousand|τ\\.|keur|(?:^|[^\\p{L}])k(?:[^\\p{L}]|$)"), (-2, "cent"))
+_CURRENCY_SIGNS = (
+    ("USD", "\\$|usd|dollar|δολάρ"), ("GBP", "£|gbp|pound|στερλίν"), ("CHF", "chf|swiss|ελβετικ"), ("SEK", "sek|swedish|σουηδικ"), ("NOK", "nok|norwegian|νορβηγικ"),
+    ("DKK", "dkk|danish|δανικ|δανίας"), ("PLN", "pln|zł|zloty|ζλότι"), ("BGN", "bgn|лв|lev|λέβα"), ("EUR", "€|eur|ευρώ|cent"),
+)
+
+
+def _cases(text: str, signs: tuple, literal) -> str:
+    return f"CASE {' '.join(f'WHEN regexp_matches({text}, {chr(39)}{pattern}{chr(39)}) THEN {literal(v)}' for v, pattern in signs)} END"
+
+
+def _quantities_sql() -> str:
+    texts = "concat_ws(chr(10), description, programme_objective, funding_coverage, application_process, additional_details)"
+    rows = []
+    for t in RECORD_TABLES:
+        for f in (*quantities.AMOUNT_FIELDS, *quantities.RATE_FIELDS):
+            rows.append(f"SELECT record_id, '{f}' AS field_name, lower(regexp_replace(replace({f}, chr(160), ' '), '\\([^()]*\\)', ' ', 'g')) AS s, {texts} AS notes, ingested_at FROM {t} WHERE regexp_matches({f}, '\\d')")
+    written = "'\\d+(?:[., ]\\d{3})*(?:[.,]\\d+)?'"
+    general = "CASE WHEN regexp_matches(notes, '(?i)amounts are in thousand|sums above in €k|τιμές σε χιλ|ποσά δίνονται σε χιλιάδες') THEN 3 ELSE 0 END"
+    budget = "CASE WHEN field_name = 'total_budget' AND regexp_matches(notes, 'quoted in millions of euro|αναφέρεται σε εκατομμύρια ευρώ') THEN 6 END"
+    stated = "nullif(regexp_extract(notes, '(?:[Aa]mounts in|Ποσά σε|[Ππ]οσά εκφράζονται σε [^.(]*\\() ?([A-Z]{3})\\b', 1), '')"
+    number = "CAST(CASE WHEN regexp_matches(num, '[.,]\\d{3}$') OR NOT regexp_matches(num, '[.,]\\d+$') THEN regexp_replace(num, '[^0-9]', '', 'g') ELSE regexp_replace(regexp_extract(num, '^(.*)[.,]\\d+$', 1), '[^0-9]', '', 'g') || '.' || regexp_extract(num, '\\d+$') END AS DOUBLE)"
+    return f"""
+WITH fields AS ({' UNION ALL '.join(rows)}),
+amounts AS (SELECT *, regexp_extract(s, {written}) AS num, replace(s, regexp_extract(s, {written}), ' ') AS around FROM fields WHERE field_name <> 'interest_rate' AND regexp_matches(s, '\\d')),
+units AS (SELECT *, {_cases('around', _SCALE_SIGNS, str)} AS scale, {_cases('around', _CURRENCY_SIGNS, lambda c: f"'{c}'")} AS unit FROM amounts),
+told AS (SELECT *, CASE WHEN scale IS NULL AND unit IS NULL THEN coalesce({budget}, {general}) ELSE coalesce(scale, 0) END AS power,
+  CASE WHEN scale IS NULL AND unit IS NULL AND {budget} IS NULL THEN coalesce({stated}, 'EUR') ELSE coalesce(unit, 'EUR') END AS currency FROM units),
+euro AS (SELECT record_id, field_name, ingested_at, floor({number} * pow(10, power) * eur_per_unit + 0.5 + 1e-7) AS v FROM told JOIN fx_rates ON currency = currency_code),
+rates AS (SELECT *, replace(regexp_extract(s, '\\d+(?:[.,]\\d+)?'), ',', '.') AS num FROM fields WHERE field_name = 'interest_rate' AND regexp_matches(s, '\\d')),
+points AS (SELECT record_id, field_name, ingested_at, floor(CAST(num AS DOUBLE) * CASE WHEN regexp_matches(s, '‰') THEN 10 WHEN regexp_matches(s, 'bp|basis|μονάδ') THEN 1 WHEN regexp_matches(s, '%|per ?cent|pct|τοις εκατ') THEN 100
+  WHEN regexp_matches(num, '\\.\\d{{3}}') THEN 10000 ELSE 100 END + 0.5 + 1e-7) AS v FROM rates)
+SELECT record_id, field_name, CAST(arg_max(v, ingested_at) AS BIGINT) AS amount_norm FROM (SELECT * FROM euro UNION ALL SELECT * FROM points) GROUP BY record_id, field_name
+"""
+
+
+ORACLES: dict[str, str] = {"p4_found": _quantities_sql(), "p6_alternatives": _ALTERNATIVES}
