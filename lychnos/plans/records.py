@@ -85,4 +85,31 @@ SELECT record_id, field_name, CAST(arg_max(v, ingested_at) AS BIGINT) AS amount_
 """
 
 
-ORACLES: dict[str, str] = {"p4_found": _quantities_sql(), "p6_alternatives": _ALTERNATIVES}
+# A plain way to split, without skeletons: pieces between delimiters outside brackets and quotes, list marks and quotes taken off.
+_BLANKS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+_CONTACT = r"(?:\p{L}[\p{L}.]{1,14}[:.] ?)?(?:https?://[^\s\x{a0};,|\"]+|[^\s\x{a0};,|\"@]+@[^\s\x{a0};,|\"@]+|\+\d{1,3}(?: \d{2,4}){2,4}|\d{3}-\d{3}-\d{4})"
+_PIECE = r"(?:\([^()]*\)|\"[^\"]*\"|«[^»]*»|“[^”]*”|\d,\d|[^;|,\n\r\t•·(\"«“]|[(\"«“])+"
+
+
+def _trimmed(e: str) -> str:
+    return f"regexp_replace({e}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+
+
+def _pieces_sql(t: str) -> str:
+    literal = f"list_transform(regexp_extract_all({t}, '\'\'[^\'\']*\'\'|\"[^\"]*\"'), lambda x: substr(x, 2, length(x) - 2))"
+    marked = f"regexp_replace(regexp_replace({t}, '(^|[\\s;,|•])(?:\\d{{1,3}}\\)|\\p{{L}}\\)|\\d{{1,2}}\\.)\\s', '\\1;', 'g'), '\\s/\\s', ';', 'g')"
+    cut = f"list_transform(regexp_extract_all({marked}, '{_PIECE}'), lambda x: regexp_replace({_trimmed('x')}, '^[-–*]{_BLANKS}+', ''))"
+    contacts = f"regexp_extract_all(x, '{_CONTACT}')"
+    more = f"flatten(list_transform({cut}, lambda x: CASE WHEN len({contacts}) > 1 THEN {contacts} ELSE [x] END))"
+    return f"CASE WHEN regexp_matches({t}, '^\\[\\s*[\'\'\"].*[\'\'\"]\\s*\\]$') THEN {literal} ELSE {more} END"
+
+
+def _packed_sql() -> str:
+    fields = [("ideal_hlektra", f, f"[{f}]") for f in ("eligible_parties", "funding_sources", "contact_info")] + [("anav_llama3b", "contact_info", "contact_info")]
+    latest = " UNION ALL ".join(f"SELECT record_id, '{f}' AS field_name, arg_max({parts}, ingested_at) AS parts FROM {t} GROUP BY record_id" for t, f, parts in fields)
+    unquoted = _trimmed(f"regexp_replace({_trimmed('x')}, '^\"([^\"]*)\"$|^«([^«»]*)»$|^“([^“”]*)”$', '\\1\\2\\3')")
+    items = f"list_filter(list_transform(flatten(list_transform(list_filter(parts, lambda x: x IS NOT NULL), lambda p: {_pieces_sql(_trimmed('p'))})), lambda x: {unquoted}), lambda x: x <> '')"
+    return f"WITH latest AS ({latest}), cut AS (SELECT record_id, field_name, {items} AS items FROM latest) SELECT record_id, field_name, CAST(generate_subscripts(items, 1) AS INTEGER) AS pos, unnest(items) AS item_text FROM cut"
+
+
+ORACLES: dict[str, str] = {"p3_found": _packed_sql(), "p4_found": _quantities_sql(), "p6_alternatives": _ALTERNATIVES}
