@@ -25,12 +25,16 @@ _K = {k: i for i, k in enumerate(KINDS)}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[©»«|·>←→…\[\]@@:]|://")
 DIGITS = re.compile(r"0x[0-9a-f]+|\b(?=[a-f]*\d)[0-9a-f]{6,}\b|\d+")
 _NAMES = frozenset({"w", "v", "wweg"})
+_NUMBER = re.compile(r"\d+")
 _ANY_DIGIT = re.compile(r"\d").search
+_MAYBE_CODE = re.compile(r"[a-f]\d|\d[a-fx]").search
 
 
 def mask_digits(text: str) -> str:
-    """Numbers and hexadecimal codes as ``9``."""
-    return DIGITS.sub("9", text) if _ANY_DIGIT(text) else text
+    """Numbers and hexadecimal codes as ``9``; a quick look tells whether a code could be there."""
+    if not _ANY_DIGIT(text):
+        return text
+    return DIGITS.sub("9", text) if _MAYBE_CODE(text) else _NUMBER.sub("9", text)
 
 
 def _line_tokens(line: str) -> list[str]:
