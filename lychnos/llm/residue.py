@@ -41,7 +41,7 @@ from lychnos.llm.blocks import is_furniture, is_residue, is_running, judged_bloc
 from lychnos.sources.tables import shared_checkpoint, spread_if_few
 
 #: Bounds of the training sample: pages that get a weak label (those of the smallest hashes), pages of label 0 and 1 that are trained on, features of one page.
-LABELLED_PAGES = 60_000
+LABELLED_PAGES = 40_000
 TRAIN_EACH = (8000, 4000)
 LARGEST_PAGE = 4000
 #: Hash space of the features, and the weight of one shape or length feature against that of one n-gram.
@@ -94,9 +94,43 @@ def may_be_open(text: str) -> bool:
     return any(map(text.__contains__, _SIGNS)) or _BARE.search(text) is not None
 
 
+_STATUS = re.compile(r"\b(?:4\d\d|50\d)\b|0x[0-9a-f]+|\b(?:gateway|denied|unavailable|timed out|maintenance|exception|fatal|oops|parked|session)\b|σφάλμα|διακομιστής|συνεδρία|συντήρησης|ουπς|στραβά|zugriff|wartung|schief", re.I)
+
+
+class _Facts(dict):
+    """Line -> 1 for running text, 2 for a status or notice phrase, 3 for an open placeholder, 0 for the rest; furniture repeats, so they are kept."""
+
+    def __missing__(self, line: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        kind = line_record(line)[0]
+        if may_be_open(line) and placeholders(line):
+            fact = 3
+        elif is_residue(kind) or (not is_furniture(kind) and len(line) < 90 and _STATUS.search(line) is not None):
+            fact = 2
+        else:
+            fact = int(is_running(kind) and not line.endswith("…"))
+        self[line] = fact
+        return fact
+
+
+_facts = _Facts()
+
+
+def weak_label(text: str) -> int | None:
+    """1 residue, 0 content, None undecided: from placeholder, status and phrase patterns and the amount of running text."""
+    facts = [_facts[x] for p in text.split("\n") if (x := p.strip())]
+    if 3 in facts:
+        return 1
+    if 2 not in facts:
+        return 0
+    running = facts[1:].count(1)
+    return 1 if not running else 0 if running >= 3 else None
+
+
 def exact_check(text: str) -> bool:
     """Whether placeholders stand where values belong, or an error, script notice or filler and no real body."""
-    if may_be_open(text) and any(placeholders(x) for x in text.split("\n") if may_be_open(x)):
+    if any(_facts[x] == 3 for p in text.split("\n") if (x := p.strip())):
         return True
     residue = False
     for _, x, kind, body in judged_blocks(text):
@@ -106,21 +140,6 @@ def exact_check(text: str) -> bool:
     return residue
 
 
-_STATUS = re.compile(r"\b(?:4\d\d|50\d)\b|0x[0-9a-f]+|\b(?:gateway|denied|unavailable|timed out|maintenance|exception|fatal|oops|parked|session)\b|σφάλμα|διακομιστής|συνεδρία|συντήρησης|ουπς|στραβά|zugriff|wartung|schief", re.I)
-
-
-def weak_label(text: str) -> int | None:
-    """1 residue, 0 content, None undecided: from placeholder, status and phrase patterns and the amount of running text."""
-    if may_be_open(text) and placeholders(text):
-        return 1
-    kinds = [(line_record(x)[0], x) for p in text.split("\n") if (x := p.strip())]
-    running = sum(is_running(k) and not x.endswith("…") for k, x in kinds[1:])
-    phrases = any(is_residue(k) or (not is_furniture(k) and len(x) < 90 and _STATUS.search(x) is not None) for k, x in kinds)
-    if phrases and not running:
-        return 1
-    return 0 if not phrases or running >= 3 else None
-
-
 # ---------------------------------------------------------------- features
 
 _DIM = 1 << BITS
@@ -153,9 +172,6 @@ class _Words(dict):
 
 
 _words = _Words()
-#: Stands between lines, so that no n-gram reaches over their end.
-_END = "\n"
-_words[_END] = (0, 0, ())
 _BINS = {k: [_hash(f"#{k}", str(v)) % _DIM for v in range(13)] for k in ("length", "lines", "long lines", "longest line", "sentences", "lines with numbers", "distinct words", "distinct in longest")}
 
 
@@ -190,20 +206,20 @@ def page_features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[n
     flags: list[int] = []
     flag_sizes = []
     for page, text in enumerate(texts):
-        lines = [x for p in _NUMBER.sub("9", text).split("\n") if (x := p.strip())]
-        words = f" {_END} ".join(lines).split(" ")
-        words = [w for w in words if w]
-        info = [_words[w] for w in words]
+        masked = _NUMBER.sub("9", text)
+        lines = [x for p in masked.split("\n") if (x := p.strip())]
+        words = masked.split()
+        info = list(map(_words.__getitem__, words))
         hashes = [x[0] for x in info]
         ids += hashes
         ids.append(0)
         sizes.append(len(hashes) + 1)
-        title.append(words.index(_END) if _END in words else len(words))
+        title.append(len(lines[0].split()))
         own = _flags(text, lines, words)
-        for i, x in enumerate(info):
-            if x[1]:
-                shaped.append((page, x[1], hashes[i - 1] if i else 0))
-                own += x[2]
+        for i, (_, shape, more) in enumerate(info):
+            if shape:
+                shaped.append((page, shape, hashes[i - 1] if i else 0))
+                own += more
         flags += own
         flag_sizes.append(len(own))
     h = np.array(ids, np.int64)
