@@ -54,7 +54,7 @@ UNEVEN = 2.0
 #: Tenths of the hosts: two choose threshold and margin, one is for validation alone.
 CHOOSE, UNSEEN, FOLDS = (0, 2), 1, 10
 #: The margin is so many times the worst miss on unseen hosts, but for these shares of the pages of label 0 and 1, so that no single odd page widens it; where these hosts cannot tell it is ``WIDE``.
-SAFETY = 1.25
+SAFETY = 2.0
 EXCUSED = (0.0005, 0.005)
 WIDE = 6.0
 
