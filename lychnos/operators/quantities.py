@@ -204,7 +204,8 @@ def _read_batches(fields: list[tuple[str, bool, str]]):
             for field, rate, note_col in fields:
                 notes = col[note_col].to_pylist() if note_col else None
                 for i, text in enumerate(col[field].to_pylist()):
-                    if text and (q := read_quantity(text, rate, notes[i] if notes else None)):
+                    read = read_quantity if text and len(text) <= 200 else read_quantity.__wrapped__  # long texts are not kept
+                    if text and (q := read(text, rate, notes[i] if notes else None)):
                         for out, v in zip(rows, (ids[i], field, *q), strict=True):
                             out.append(v)
                         version.append(i)
