@@ -80,12 +80,16 @@ _PER_FURTHER[[_K[k] for k in ("footer", "title", "item", "trail", "advert")]] =
 
 
 _records: dict[str, tuple[int, int, float, bool]] = {}
+#: Lines and characters that are kept at most, however long the lines.
+_MOST_LINES, _MOST_CHARS = 200_000, 30_000_000
+_held = [0]
 
 
 def learn_lines(lines: Iterable[str]) -> None:
     """Judge stripped lines that are not known yet, all in one matrix sum; ``line_record`` then finds them."""
-    if len(_records) > 200_000:
+    if len(_records) > _MOST_LINES or _held[0] > _MOST_CHARS:
         _records.clear()
+        _held[0] = 0
     vocab, ratios = _line_model()
     known = vocab.get
     open_: list[tuple[str, list[str], bool]] = []
@@ -95,6 +99,7 @@ def learn_lines(lines: Iterable[str]) -> None:
     for line in dict.fromkeys(lines):
         if line in _records:
             continue
+        _held[0] += len(line)
         written = line.split()
         if _CRUMB.match(line) and " " in line:
             _records[line] = (_TRAIL, len(written), 1.0, line.endswith("…"))

@@ -110,7 +110,8 @@ class _Facts(dict):
             fact = 2
         else:
             fact = int(is_running(kind) and not line.endswith("…"))
-        self[line] = fact
+        if len(line) <= 1000:
+            self[line] = fact
         return fact
 
 
@@ -167,7 +168,9 @@ class _Words(dict):
             s = _LETTERS.sub("a", word).strip(".,;:!?")
             shape = _hash("#shape", s)
             cells = (shape % _DIM, *(_hash("#signs", s[max(0, m.start() - 1) : m.end() + 1]) % _DIM for m in _SIGNS_OF_SHAPE.finditer(s)))
-        got = self[word] = _hash(word.lower()), shape, cells
+        got = _hash(word.lower()), shape, cells
+        if len(word) <= 64:
+            self[word] = got
         return got
 
 

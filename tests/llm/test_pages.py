@@ -151,3 +151,15 @@ def test_pages_without_a_host_column_and_with_clashing_names(spark):
     assert {r.page_id for r in residue_pages(df).collect()} == set(range(len(RESIDUE) * 4))
     nulls = df.withColumn("site_key", df["grams"])
     assert {r.page_id for r in residue_pages(nulls).collect()} == set(range(len(RESIDUE) * 4))
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    from lychnos.llm import blocks
+
+    monkeypatch.setattr(blocks, "_MOST_CHARS", 10_000)
+    for i in range(30):
+        assert body_lines(f"Action X\nThe rate is {i}% and stays fixed for 9 years. " + "It stays fixed. " * 500) == [1, 2]
+    assert sum(map(len, blocks._records)) < 40_000
+    weak_label("long words " * 1000)
+    page_features(["y" * 5000])
+    assert max(map(len, residue_module._facts)) <= 1000 and max(map(len, residue_module._words)) <= 64
