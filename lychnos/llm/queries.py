@@ -19,6 +19,8 @@ def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What TESTDATA fixes for p2_found: completeness, trust, recency; then the smaller record id.
 FIXED_ORDER = ("n_items", "trust", "extracted_at")
+#: Truth discovery decides after it, between the values of the surviving record; before the record id it would break that order.
+FOUND_ORDER = (*FIXED_ORDER, "record_id", "support")
 
 
 def _survivors(spark: SparkSession, sf_dir: str, prefer: tuple[str, ...]) -> DataFrame:
@@ -28,12 +30,12 @@ def _survivors(spark: SparkSession, sf_dir: str, prefer: tuple[str, ...]) -> Dat
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _survivors(spark, sf_dir, FIXED_ORDER).select("call_id", "field_name", "record_id")
+    return _survivors(spark, sf_dir, FOUND_ORDER).select("call_id", "field_name", "record_id")
 
 
 def p2_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survivors where the support found by truth discovery comes first."""
-    return _survivors(spark, sf_dir, ("support", *FIXED_ORDER))
+    return _survivors(spark, sf_dir, ("support", *FIXED_ORDER)).drop("value_key")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ Source reliability and value support are estimated in turn: a value's support is
 the sources that claim it, a source's reliability is the mean share of support that its claims
 reach in their groups, shrunk to a prior from the source's rated trust; until no reliability moves
 by more than ``TOLERANCE``. The claims then compete in each group under a list of preferences, of
-which support is one. Where the order of preference is fixed from outside (completeness, trust,
-recency, id), it is total, support could not change a row, and nothing is estimated.
+which support is one. Where the order among records is fixed from outside (completeness, trust,
+recency, id), support decides what that order leaves open: which value of the surviving record
+stands, if the record gives several, delivered again with another value.
 
 Groups are never gathered: votes and winners are aggregates that combine on the map side, and a
 value that is only the beginning of a longer one is found by sorting all values, not by comparing
@@ -14,12 +15,13 @@ pairs.
 
 Defined results: null, blank and stand-in values are no claims; a group whose records all lack a
 usable value gives no row; so does a group of fewer than two distinct record ids, or without id;
-sources that are missing or unrated have trust 0; records delivered twice count once; ties end at
-the smaller record id; empty tables give no rows.
+sources that are missing or unrated have trust 0; priors take trusts under 0 as 0 and over 5 as 5;
+records delivered twice count once; ties end at the smaller record id; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -35,7 +37,7 @@ STAND_INS = (
     "(κενό)", "κενό", "άγνωστο", "άγνωστη", "δεναναφέρεται", "δενβρέθηκανστοιχεία", "θαανακοινωθεί", "δ/υ", "μ/δ",
     "unbekannt", "keineangabe", "k.a.", "inconnu", "nonprécisé", "desconhecido",
 )
-#: Safety bound: reaching it is an error, not a result.
+#: Safety bound: reaching it is an error, not a result; a warning where support cannot change the surviving record.
 ROUNDS = 200
 #: Greatest move of a reliability at the fixed point.
 TOLERANCE = 0.0001
@@ -81,11 +83,14 @@ def claims(records: DataFrame, sources: DataFrame, fields: Sequence[str]) -> Dat
     return rows.select("field_name", "call_id", "record_id", "source", F.coalesce("trust", F.lit(0)).alias("trust"), "extracted_at", F.xxhash64(folded(F.col("text"))).alias("value_key"), F.col("n_items").cast("int").alias("n_items"), stem(F.col("text")).alias("stem"))
 
 
-def value_support(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``(field_name, call_id, value_key, support)`` and ``(source, reliability)`` at the fixed point; an error if ``rounds`` rounds do not reach it."""
+def value_support(found: DataFrame, rounds: int = ROUNDS, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(field_name, call_id, value_key, support)`` and ``(source, reliability)`` at the fixed point.
+
+    If ``rounds`` rounds do not reach it, an error; with ``strict`` off a warning and what they came to.
+    """
     votes = found.groupBy("field_name", "call_id", "value_key", "source").agg(F.countDistinct("record_id").alias("n"), F.max("trust").alias("trust"))
     votes = shared_checkpoint(votes)  # keys and counts only
-    prior = votes.groupBy("source").agg(((F.max("trust") + 1) / F.lit(6.0)).alias("prior"))
+    prior = votes.groupBy("source").agg(((F.least(F.greatest(F.max("trust"), F.lit(0)), F.lit(5)) + 1) / F.lit(6.0)).alias("prior"))
     prior = shared_checkpoint(prior)
     weight = prior.withColumn("reliability", F.col("prior"))
     for _ in range(rounds):
@@ -96,7 +101,10 @@ def value_support(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Da
         if moved is None or moved < TOLERANCE:
             break
     else:
-        raise RuntimeError(f"truth discovery did not converge in {rounds} rounds: a reliability still moves by {moved}, more than {TOLERANCE}")
+        open_still = f"truth discovery did not converge in {rounds} rounds: a reliability still moves by {moved}, more than {TOLERANCE}"
+        if strict:
+            raise RuntimeError(open_still)
+        warnings.warn(open_still, RuntimeWarning, stacklevel=2)
     return _supports(votes, weight), weight.select("source", "reliability")
 
 
@@ -128,26 +136,29 @@ def drop_beginnings(found: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def best_representatives(tables: Sequence[tuple[DataFrame, Sequence[str]]], sources: DataFrame, prefer: Sequence[str] = ("support", "n_items", "trust", "extracted_at"), whole_texts: Sequence[str] = ()) -> DataFrame:
-    """``(call_id, field_name, record_id[, support])``: the surviving record per group and field.
+    """``(call_id, field_name, record_id, value_key[, support])``: the surviving record per group and field, and which value of it stands.
 
     ``tables`` are record tables with the fields looked at in each; no field twice. Sources share
     one reliability over all of them. ``prefer`` orders the claims, greater first: any of support,
-    n_items (completeness), trust, extracted_at; the smaller record id ends ties. Fields in
+    n_items (completeness), trust, extracted_at, and record_id, smaller first, which comes last
+    unless named. What stands after record_id decides between values of the same record. Fields in
     ``whole_texts`` lose values that are only the beginning of a longer one. Reliabilities and
-    support are estimated if ``prefer`` has support; an order without it is total without them.
+    support are estimated, over all claims, if ``prefer`` has support.
     """
+    ranked = list(dict.fromkeys([*prefer, "record_id"]))
     found = reduce(DataFrame.unionByName, (claims(r, sources, f) for r, f in tables))
     found = shared_checkpoint(found.withColumn("stem", F.when(F.col("field_name").isin(*whole_texts), F.col("stem"))))  # texts only where they are compared
     rest = drop_beginnings(found, whole_texts) if whole_texts else found
-    if "support" in prefer:
-        rest = rest.join(value_support(found)[0], ["field_name", "call_id", "value_key"])
+    if "support" in ranked:
+        strict = ranked.index("support") < ranked.index("record_id")
+        rest = rest.join(value_support(found, strict=strict)[0], ["field_name", "call_id", "value_key"])
     early = F.lit("0001-01-02").cast("timestamp").cast(dict(rest.dtypes)["extracted_at"])
-    order = {"support": F.round("support", 9) if "support" in prefer else None, "n_items": F.col("n_items"), "trust": F.col("trust"), "extracted_at": F.coalesce(F.col("extracted_at"), early)}
-    rank = F.struct(*(order[p].alias(p) for p in prefer), (-F.col("record_id")).alias("id"))
+    order = {"support": F.round("support", 9) if "support" in ranked else None, "n_items": F.col("n_items"), "trust": F.col("trust"), "extracted_at": F.coalesce(F.col("extracted_at"), early), "record_id": -F.col("record_id")}
+    rank = F.struct(*(order[p].alias(p) for p in ranked), "value_key")
     best = rest.groupBy("call_id", "field_name").agg(F.max(rank).alias("b"))
     groups = reduce(DataFrame.unionByName, (_groups(r, f) for r, f in tables))
-    support = [F.round("b.support", 6).alias("support")] if "support" in prefer else []
-    return best.join(groups, ["call_id", "field_name"], "left_semi").select("call_id", "field_name", (-F.col("b.id")).alias("record_id"), *support)
+    support = [F.round("b.support", 6).alias("support")] if "support" in ranked else []
+    return best.join(groups, ["call_id", "field_name"], "left_semi").select("call_id", "field_name", (-F.col("b.record_id")).alias("record_id"), F.col("b.value_key").alias("value_key"), *support)
 
 
 def _groups(records: DataFrame, fields: Sequence[str]) -> DataFrame:

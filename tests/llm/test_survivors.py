@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,72 @@ def test_support_changes_survivors(spark, sf_dir):
     a = {tuple(r) for r in p2_found(spark, sf_dir).collect()}
     b = {tuple(r)[:3] for r in p2_supported(spark, sf_dir).select("call_id", "field_name", "record_id").collect()}
     assert {r[:2] for r in a} == {r[:2] for r in b} and a != b
+
+
+def p2_tables(spark, tmp_path, anav, ideal=(), sites=(("good", 5), ("bad", 1), ("low", 2), ("odd", -1), ("unrated", None))):
+    """A data folder with the tables of p2; anav: (record_id, call_id, site_key, day, programme_name), ideal: with description and eligibility_criteria instead."""
+    at = "record_id bigint, call_id string, site_key string, extracted_at string, "
+    stamped = lambda rows: [(i, c, s, f"2024-01-{t:02d} 00:00:00", *rest) for i, c, s, t, *rest in rows]
+    for name, df in (
+        ("anav_llama3b", spark.createDataFrame(stamped(anav), at + "programme_name string")),
+        ("ideal_anav", spark.createDataFrame(stamped(ideal), at + "description string, eligibility_criteria array<string>")),
+        ("trusted_sources", spark.createDataFrame(list(sites), "site_key string, trust_level int")),
+    ):
+        if "extracted_at" in df.columns:
+            df = df.withColumn("extracted_at", F.to_timestamp("extracted_at"))
+        pq.write_table(df.toArrow(), tmp_path / f"{name}.parquet")
+    return str(tmp_path)
+
+
+def test_p2_found_runs_truth_discovery_over_all_claims(spark, sf_dir, monkeypatch):
+    from lychnos.llm import queries, survivors
+
+    seen = []
+
+    def estimated(found, *a, **k):
+        seen.append((found.count(), value_support(found, *a, **k)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(survivors, "value_support", estimated)
+    assert queries.p2_found(spark, sf_dir).count()
+    anav, ideal, sources = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("anav_llama3b", "ideal_anav", "trusted_sources"))
+    assert [n for n, _ in seen] == [claims(anav, sources, ["programme_name"]).count() + claims(ideal, sources, ["description", "eligibility_criteria"]).count()]
+    reliabilities = [r.reliability for r in seen[0][1][1].collect()]
+    assert len(set(reliabilities)) > 6 and all(0 < r <= 1 for r in reliabilities)  # more than the priors
+
+
+@pytest.mark.parametrize(("right", "wrong"), [("Alpha", "Beta"), ("Beta", "Alpha")])
+def test_support_decides_between_values_of_the_surviving_record(spark, tmp_path, right, wrong):
+    """Record 1 is delivered twice with other values: the one that other sources claim stands; without support it is the same one either way."""
+    from lychnos.llm.queries import FIXED_ORDER, FOUND_ORDER, _survivors, p2_found
+
+    d = p2_tables(spark, tmp_path, [(1, "c", "good", 1, wrong), (1, "c", "good", 1, right), (2, "c", "low", 1, right), (3, "c", "bad", 9, right), (4, "c", "unrated", 9, "Gamma")])
+    key = lambda value: spark.range(1).select(F.xxhash64(F.lit(value.lower()))).first()[0]
+    assert [(r.record_id, r.value_key) for r in _survivors(spark, d, FOUND_ORDER).collect()] == [(1, key(right))]
+    assert [r.value_key for r in _survivors(spark, d, FIXED_ORDER).collect()] == [max(key(right), key(wrong))]
+    assert [tuple(r) for r in p2_found(spark, d).collect()] == [("c", "programme_name", 1)]
+
+
+def test_p2_found_equals_its_sql_where_support_would_choose_otherwise(spark, tmp_path):
+    """Values that tie in trust and time go by the smaller record id, however many sources claim the other; trusts out of range."""
+    from lychnos.llm.queries import ORACLES, p2_found, p2_supported
+    from tests.oracle import connect, rows
+
+    anav = [(1, "c", "good", 5, "Alone"), (2, "c", "good", 5, "Claimed"), (3, "c", "low", 4, "Claimed"), (4, "c", "bad", 4, "Claimed"), (5, "odd", "odd", 1, "x"), (6, "odd", "odd", 1, "y"), (7, "none", None, 1, "x"), (8, "none", "unrated", 2, "n/a")]
+    ideal = [(11, "c", "good", 1, "A text (…)", ["a", "A "]), (12, "c", "good", 1, "A text of more", ["a", "b"]), (13, "c", "low", 1, "A text of more", ["b", "a"]), (14, "c", None, 3, None, None)]
+    d = p2_tables(spark, tmp_path, anav, ideal)
+    got = p2_found(spark, d).toPandas()
+    assert rows(got) == rows(connect(d).execute(ORACLES["p2_found"]).df())
+    assert ("c", "programme_name", 1) in set(got.itertuples(index=False, name=None))
+    assert ("c", "programme_name", 2) in {tuple(r)[:3] for r in p2_supported(spark, d).collect()}
+
+
+def test_slow_reliabilities_lose_no_row_of_a_fixed_order(spark, sources, monkeypatch):
+    from lychnos.llm import survivors
+
+    monkeypatch.setattr(survivors, "value_support", lambda found, strict: value_support(found, rounds=1, strict=strict))
+    rows = [(i, f"c{g}", s, 1, d, None) for g in range(20) for i, (s, d) in enumerate([("good", "right"), ("bad", "wrong" if g % 3 else "right"), ("unrated", "wrong")], 10 * g)]
+    with pytest.warns(RuntimeWarning, match="converge"):
+        assert best(spark, sources, rows, (*ORDER, "record_id", "support")) == {(f"c{g}", "description"): 10 * g for g in range(20)}
+    with pytest.raises(RuntimeError, match="converge"):
+        best(spark, sources, rows, ("support", *ORDER))
